@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelens.llm import bpe
+from sourcelens.llm import bpe, mixing, quality
 
 _QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op4_quality": quality.op4_quality,
+    "op7_mix": mixing.op7_mix,
 }
 
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {
+    "op4_quality": quality.ORACLE,
+    "op7_mix": mixing.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
