@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelens.llm import bpe, mixing, quality
+from sourcelens.llm import bpe, exact, mixing, quality
 
 _QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_exact": exact.op3_exact,
     "op4_quality": quality.op4_quality,
     "op7_mix": mixing.op7_mix,
 }
 
 _ORACLES: dict[str, str] = {
+    "op3_exact": exact.ORACLE,
     "op4_quality": quality.ORACLE,
     "op7_mix": mixing.ORACLE,
 }
