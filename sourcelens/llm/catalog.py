@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelens.llm import bpe, exact, mixing, quality
+from sourcelens.llm import bpe, exact, mixing, quality, urls
 
 _QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_exact": exact.op3_exact,
     "op4_quality": quality.op4_quality,
+    "op5_urls": urls.op5_urls,
     "op7_mix": mixing.op7_mix,
 }
 
