@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelens.llm import bpe, exact, mixing, quality, urls
+from sourcelens.llm import bpe, exact, langid, mixing, quality, urls
 
 _QUERIES = {
     "op2_bpe": bpe.op2_bpe,
@@ -14,6 +14,7 @@ _QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_urls": urls.op5_urls,
     "op7_mix": mixing.op7_mix,
+    "op9_langid": langid.op9_langid,
 }
 
 _ORACLES: dict[str, str] = {
