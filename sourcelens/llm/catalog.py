@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelens.llm import bpe, exact, langid, mixing, quality, urls
+from sourcelens.llm import bpe, exact, langid, lines, mixing, quality, urls
 
 _QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_exact": exact.op3_exact,
     "op4_quality": quality.op4_quality,
     "op5_urls": urls.op5_urls,
+    "op6_lines": lines.op6_lines,
     "op7_mix": mixing.op7_mix,
     "op9_langid": langid.op9_langid,
 }

@@ -122,8 +122,8 @@ def fences(sketch: DataFrame) -> DataFrame:
     per = q.groupBy("at", "lang", "source").agg(*of, F.max("total").alias("total")).withColumn("f", F.struct(*[f"{x}_{r}" for r, _, _ in RATES for x in ("low", "high")]))
     own = per.where("at = 0").select("lang", "source", F.col("total").alias("n0"), F.col("f").alias("f0"))
     by_lang = per.where("at = 1").select(F.col("lang").alias("l1"), F.col("total").alias("n1"), F.col("f").alias("f1"))
-    over_all = per.where("at = 2").select(F.col("f").alias("f2"))
-    out = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l1"))).join(F.broadcast(over_all))  # one row
+    over_all = per.where("at = 2").select(F.col("at").alias("top"), F.col("f").alias("f2"))
+    out = own.withColumn("top", F.lit(2)).join(by_lang, F.col("lang").eqNullSafe(F.col("l1"))).join(F.broadcast(over_all), "top")  # one row
     f = F.when(F.col("n0") >= MIN_GROUP, F.col("f0")).when(F.col("n1") >= MIN_GROUP, F.col("f1")).otherwise(F.col("f2"))
     return out.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), f.alias("fence"))
 
