@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelens.llm import bpe, exact, langid, lines, mixing, quality, urls
+from sourcelens.llm import bpe, exact, jaccard, langid, lines, mixing, quality, urls
 
 _QUERIES = {
     "op2_bpe": bpe.op2_bpe,
@@ -16,6 +16,7 @@ _QUERIES = {
     "op6_lines": lines.op6_lines,
     "op7_mix": mixing.op7_mix,
     "op9_langid": langid.op9_langid,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 
 _ORACLES: dict[str, str] = {
