@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelens.llm import bpe, exact, jaccard, langid, lines, mixing, quality, urls
+from sourcelens.llm import bpe, exact, jaccard, langid, lines, mixing, quality, substrings, urls
 
 _QUERIES = {
     "op2_bpe": bpe.op2_bpe,
@@ -15,6 +15,7 @@ _QUERIES = {
     "op5_urls": urls.op5_urls,
     "op6_lines": lines.op6_lines,
     "op7_mix": mixing.op7_mix,
+    "op8_substrings": substrings.op8_substrings,
     "op9_langid": langid.op9_langid,
     "op10_jaccard": jaccard.op10_jaccard,
 }

@@ -71,3 +71,11 @@ def word_count(text: Column) -> Column:
     """How many words() a text has."""
     trimmed = F.btrim(text_or_empty(text), F.lit(SPACE))
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, "[\\x09-\\x0D\\x20]+"))).cast("long")
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, whose results are written: it does so once the driver collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
