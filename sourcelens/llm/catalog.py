@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelens.llm import bpe, exact, jaccard, langid, lines, mixing, quality, substrings, urls
+from sourcelens.llm import bpe, exact, jaccard, langid, licenses, lines, mixing, quality, substrings, urls
 
 _QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_bpe": bpe.op2_bpe,
     "op3_exact": exact.op3_exact,
     "op4_quality": quality.op4_quality,
