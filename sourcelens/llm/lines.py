@@ -142,7 +142,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = docs.select(row.alias("row"), F.col(text_col).alias("text"), _doc_key(F.col(id_col), F.col(text_col)).alias("key"))
     lines = common.written(line_hashes(keyed.where("text is not null").select("key", "text")), "lines")
     gone = common.written(deletions(lines), "deletions").withColumnRenamed("key", "gone")
-    out = keyed.join(gone, F.col("key") == F.col("gone"), "left")
+    # the same plan at every size: texts are shuffled once, by their key, and stand in the row only
+    out = keyed.drop("text").join(gone.hint("merge"), F.col("key") == F.col("gone"), "left").withColumn("text", F.col(f"row.`{text_col}`"))
     deleted = lambda i: F.exists("spans", lambda s: (i >= s["start"]) & (i < s["end"]))
     left = F.filter(F.split("text", "\n"), lambda x, i: ~deleted(i))
     out = out.withColumns({
