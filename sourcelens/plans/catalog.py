@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sourcelens.plans import design_queries
+
+_MODULES = [design_queries]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to a callable of (spark, sf_dir)."""
-    return {}
+    return {name: q for m in _MODULES for name, q in m._QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to the DuckDB SQL that must give the same rows."""
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m._SQL.items()}
