@@ -40,16 +40,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(id(spark), []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of written() that no later step reads."""
+    spark = df.sparkSession
+    if df._written_path in _written.get(id(spark), []):
+        _written[id(spark)].remove(df._written_path)
+        _delete(spark, df._written_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that written() made; call it once their readers are done."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in _written.pop(id(spark), []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, path)
 
 
 def let(value: Column, body) -> Column:
