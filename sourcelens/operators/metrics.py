@@ -245,8 +245,8 @@ def metric_agreement(p: DataFrame, metrics=None, which: str = "distance") -> Dat
     ranked = rows.withColumn("v", F.round("v", 12)).join(ranks, ["m", "v"]).select("m", "i", "j", "rank")
     left, right = ranked.select(F.col("m").alias("a"), "i", "j", F.col("rank").alias("ra")), ranked.select(F.col("m").alias("b"), "i", "j", F.col("rank").alias("rb"))
     both = left.join(right, ["i", "j"]).groupBy("a", "b")
-    spread = (F.stddev_pop("ra") > 0) & (F.stddev_pop("rb") > 0)
-    return both.agg(F.when(spread, F.corr("ra", "rb")).alias("spearman"))
+    spread = F.stddev_pop("ra") * F.stddev_pop("rb")
+    return both.agg(F.try_divide(F.covar_pop("ra", "rb"), spread).alias("spearman"))
 
 
 def aitchison_pseudocount_sweep(p: DataFrame, eps_grid: Sequence[float], score: Callable[[DataFrame], DataFrame], per_block: Sequence[bool] = (True, False), skip_invalid: bool = False) -> DataFrame:
