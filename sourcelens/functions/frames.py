@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed to the shared folder where one is set, else kept in memory and on disk."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist()
+
+
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """df with the columns of a one-row table: an equality join on a constant whose small side is one row by construction."""
     small = one_row.limit(1).withColumn("__one", F.lit(1))

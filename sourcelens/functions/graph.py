@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sourcelens.functions.frames import kept
+
 
 def least_labels(links: DataFrame) -> DataFrame:
     """node, label for undirected links (a, b): label is the least node of the component.
@@ -14,21 +16,15 @@ def least_labels(links: DataFrame) -> DataFrame:
     diameter on paths. Each round's labels are checkpointed.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _kept(both)
-    labels = _kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    both = kept(both)
+    labels = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(seen, labels.node == seen.a).select("node", F.least("label", "near").alias("label"))
         jump = step.select(F.col("node").alias("j"), F.col("label").alias("further"))
-        new = _kept(step.join(jump, step.label == jump.j).select("node", F.least("label", "further").alias("label")))
+        new = kept(step.join(jump, step.label == jump.j).select("node", F.least("label", "further").alias("label")))
         old = labels.withColumnRenamed("label", "old")
         if new.join(old, "node").where("label != old").isEmpty():
             return new
         labels = new
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder, where one is set; else kept in memory and on disk."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()

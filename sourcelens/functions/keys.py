@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourcelens.functions.frames import kept
+
 #: Texts that stand for a missing key, compared without case.
 MISSING = ("", "nan", "none", "<na>")
 #: All Unicode white space and the ASCII separators, at either end.
@@ -60,13 +62,15 @@ def key_text(column: Column, dtype: str) -> Column:
 
 
 def with_row_position(df: DataFrame, name: str = "row_position") -> DataFrame:
-    """df with a dense zero-based position in the order of its partitions, without an RDD.
+    """df with a dense zero-based position in the order of its partitions.
 
-    Partition sizes are counted first; one row per partition is broadcast.
+    The numbered rows are computed once and kept, as a second computation might
+    deal them to other partitions. Partition sizes are counted then; one row per
+    partition is broadcast. Tables that have a unique position need none of this.
     """
     from pyspark.sql import Window
 
-    raw = df.withColumn("__id", F.monotonically_increasing_id())
+    raw = kept(df.withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", 33)
     sizes = raw.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelens.plans import design_queries, feature_queries
+from sourcelens.plans import api_queries, design_queries, feature_queries
 
-_MODULES = [design_queries, feature_queries]
+_MODULES = [design_queries, feature_queries, api_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -39,6 +39,10 @@ def test_composite_keys_never_collide(spark):
 def test_dense_positions(spark):
     got = keys.with_row_position(spark.range(0, 1000, 1, 7)).orderBy("row_position").collect()
     assert [r.row_position for r in got] == list(range(1000))
+    rows = spark.range(20000).selectExpr("id % 97 as a", "hash(id) as b")
+    ranked = keys.with_row_position(rows.orderBy("a", "b"))  # adaptive execution may merge partitions
+    got = ranked.orderBy("row_position").collect()
+    assert [r.row_position for r in got] == list(range(20000)) and [(r.a, r.b) for r in got] == sorted((r.a, r.b) for r in rows.collect())
 
 
 @pytest.mark.parametrize("weight", ["-1", "abc", "inf", None, "1d"])
