@@ -27,6 +27,8 @@ RATES = [("symbol_rate", 40, False), ("dup_line_rate", 130, False), ("repeat_rat
 SPREAD = 3
 #: Documents that a group's own sketch needs.
 MIN_GROUP = 200
+#: Groups whose fences may be broadcast.
+BROADCAST_GROUPS = 20_000
 #: The grid splits each power of two into this many steps (as a power of two).
 GRID_BITS = 6
 
@@ -63,16 +65,15 @@ def with_base(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Data
         F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(common.SPACE)) != ""),
         lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dups")),
     )
+    n_symbols = F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))
+    # an explode of one element: Catalyst moves no filter below it, so the measures are computed once
+    measures = F.struct(by_word.alias("w"), by_line.alias("l"), n_symbols.cast("long").alias("s"))
     p = lambda x: f"{prefix}{x}"
-    out = docs.withColumns({
-        p("words"): by_word, p("lines"): by_line,
-        p("n_symbols"): (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
-    })
-    out = out.withColumns({
-        p("n_words"): F.col(p("words"))["n"].cast("long"), p("word_chars"): F.col(p("words"))["chars"].cast("long"),
-        p("n_repeat_words"): F.col(p("words"))["repeats"].cast("long"),
-        p("n_lines"): F.col(p("lines"))["n"].cast("long"), p("n_dup_lines"): F.col(p("lines"))["dups"].cast("long"),
-    }).drop(p("words"), p("lines"))
+    m = p("measures")
+    out = docs.select("*", F.explode(F.array(measures)).alias(m)).withColumns({
+        p("n_words"): F.col(f"{m}.w.n").cast("long"), p("word_chars"): F.col(f"{m}.w.chars").cast("long"), p("n_repeat_words"): F.col(f"{m}.w.repeats").cast("long"),
+        p("n_lines"): F.col(f"{m}.l.n").cast("long"), p("n_dup_lines"): F.col(f"{m}.l.dups").cast("long"), p("n_symbols"): F.col(f"{m}.s"),
+    }).drop(m)
     n = F.col(p("n_words"))
     return out.withColumn(p("base_failed"), (n < 50) | (100 * F.col(p("n_repeat_words")) > 50 * n))
 
@@ -161,7 +162,9 @@ def keep_good(docs: DataFrame, lang: str = "lang", source: str = "source", text_
     """
     prefix = "quality__"
     measured = with_base(docs, text_col, prefix)
-    limits = fences(sketches(measured, lang, source, prefix))
+    limits = common.written(fences(sketches(measured, lang, source, prefix)), "fences")
+    if limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)  # some hundred bytes a group; beyond the bound the join shuffles
     return judged(measured, limits, lang, source, prefix, f"{prefix}kept").where(f"{prefix}kept").select(*docs.columns)
 
 
