@@ -12,6 +12,8 @@ from sourcelens.functions.frames import attach, ratio, xlog2x
 from sourcelens.operators.tables import source_group_weight
 
 TOLERANCE = 1e-12
+#: Cells (sources times groups) of the table that a bootstrap may send to every executor.
+MAX_CELLS = 20_000_000
 
 
 def shannon(masses: Column) -> Column:
@@ -129,12 +131,15 @@ class BootstrapResult:
 def bootstrap_draws(w: DataFrame, replicates: int = 10_000, seed: int = 0) -> DataFrame:
     """replicate, ratio (null if degenerate): sources resampled with replacement, as many as there are.
 
-    A draw needs all of W, which is as large as sources times groups, so it goes
-    to the executors in one broadcast; replicates are spread over tasks. The
+    A draw needs all of W, so W goes to the executors in one broadcast of at
+    most MAX_CELLS cells (ValueError beyond it); replicates are spread over tasks. The
     indices are those of one sequential generator; a task makes the earlier
     ones too and drops them, so results do not depend on the number of tasks.
     """
     spark = w.sparkSession
+    size = w.agg(F.count_distinct("source") * F.count_distinct("group")).first()[0]
+    if size > MAX_CELLS:
+        raise ValueError(f"a bootstrap over {size} cells is not supported; the bound is {MAX_CELLS}")
     table = w.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("group", "weight"))).alias("m")).orderBy("source").collect()
     names = sorted({g for r in table for g in r.m}, key=str)
     x = np.array([[r.m.get(g, 0.0) for g in names] for r in table], float).reshape(len(table), len(names))

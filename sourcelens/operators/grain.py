@@ -69,6 +69,24 @@ def score_grains(df: DataFrame, grains: Mapping[str, KeySpec] | Sequence[str], *
     return score_long(keyed.select("g.grain", "g.source", "unit", "group", "weight"))
 
 
+def grain_sweep(corpus, columns: Mapping[str, KeySpec] | Sequence[str]) -> DataFrame:
+    """Scores a corpus's own rows under other definitions of source, taken from the columns of its records.
+
+    Rows are matched by their position. A row without a value for one of the grains is an error.
+    """
+    specs = grain_map(columns)
+    absent = [c for s in specs.values() for c in as_spec(s, "grain") if c not in corpus.records.columns]
+    if absent:
+        raise KeyError(f"no columns {absent} among {corpus.records.columns}")
+    labels = [F.struct(F.lit(label).alias("grain"), key(spec).alias("k0")) for label, spec in specs.items()]
+    texts = [F.struct(x["grain"].alias("grain"), F.when(x["k0"].isNotNull(), F.to_json(F.struct(x["k0"].alias("k")))).alias("source")) for x in labels]
+    sources = corpus.records.select("row_position", F.explode(F.array(*texts)).alias("g")).select("row_position", "g.grain", "g.source")
+    rows = corpus.projection.where("analysis_included").select("row_position", "unit", "group", "weight").join(sources, "row_position")
+    if lost := rows.where("source is null").limit(1).collect():
+        raise ValueError(f"a row has no value for grain {lost[0].grain!r}")
+    return score_long(rows.select("grain", "source", "unit", "group", "weight"))
+
+
 def ranked(scores: DataFrame, ascending: bool = True) -> DataFrame:
     """By ratio, undefined ones last."""
     by = F.col("ratio").asc_nulls_last() if ascending else F.col("ratio").desc_nulls_last()

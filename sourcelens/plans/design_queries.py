@@ -482,3 +482,8 @@ _SWEEP = """WITH b AS (SELECT l_suppkey::VARCHAR AS l_suppkey, c_custkey::VARCHA
 }) + " FROM c JOIN g USING (grain) JOIN n USING (grain)")
 def grain_sweep(spark, sf_dir):
     return grain.score_grains(D.segments_records(spark, sf_dir), _GRAINS, unit="o_orderkey", group="c_mktsegment", weight="l_quantity")
+
+
+@query("grain_sweep_corpus", _SQL["grain_sweep"])
+def grain_sweep_corpus(spark, sf_dir):
+    return grain.grain_sweep(_segments(spark, sf_dir), _GRAINS)
