@@ -22,6 +22,8 @@ SHARE = 1.5
 MOST = 2
 #: Documents in a key range, about.
 RANGE_ROWS = 4096
+#: Sources whose targets may be broadcast.
+BROADCAST_SOURCES = 20_000
 SEED = "mix-1"
 
 
@@ -61,22 +63,22 @@ def with_taken(sized: DataFrame, per_source: DataFrame) -> DataFrame:
     left is the budget of the partial epoch less all sizes that stand before the
     document: the words taken in it are min(size, left) if left is positive.
     """
-    t = per_source.select(F.col("source").alias("t_source"), "source_size", "n_docs", "target")
+    # plain equality on (k, z) lets windows and joins share one shuffle, which null-safe equality would not
+    keyed = lambda df: df.withColumns({"k": F.coalesce("source", F.lit("")), "z": F.col("source").isNull()})
+    t = keyed(per_source).select("k", "z", "source_size", "n_docs", "target")
+    if per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        t = F.broadcast(t)  # some fifty bytes a source
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    n_ranges = F.ceil(F.col("n_docs") / RANGE_ROWS).cast("long")
-    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    rows = sized.join(t, F.col("source").eqNullSafe(F.col("t_source"))).withColumns({
-        "epochs": epochs, "range": F.call_function("shiftright", place * n_ranges, F.lit(32)),
-    })
-    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    n_ranges_of = sized.select("source", "size", "key").join(t, F.col("source").eqNullSafe(F.col("t_source")))
-    sums = n_ranges_of.groupBy("source", F.call_function("shiftright", place * n_ranges, F.lit(32)).alias("range")).agg(F.sum("size").alias("range_size"))
-    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("s_source"), F.col("range").alias("s_range"), F.coalesce(F.sum("range_size").over(upto), F.lit(0)).alias("start"))
-    out = rows.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("range") == F.col("s_range")))
+    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.ceil(F.col("n_docs") / RANGE_ROWS).cast("long")
+    dealt = lambda df: keyed(df).join(t, ["k", "z"]).withColumn("range", F.call_function("shiftright", place, F.lit(32)))
+    inside = Window.partitionBy("k", "z", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt(sized).withColumns({"epochs": epochs, "before": F.coalesce(F.sum("size").over(inside), F.lit(0))})
+    sums = dealt(sized.select("source", "size", "key")).groupBy("k", "z", "range").agg(F.sum("size").alias("range_size"))
+    upto = Window.partitionBy("k", "z").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("k", "z", "range", F.coalesce(F.sum("range_size").over(upto), F.lit(0)).alias("start"))
+    out = rows.join(starts, ["k", "z", "range"])
     budget = F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
-    return out.withColumn("left", budget - F.col("start") - F.col("before")).drop("t_source", "s_source", "s_range", "start", "before", "range", "n_docs")
+    return out.withColumn("left", budget - F.col("start") - F.col("before")).drop("k", "z", "start", "before", "range", "n_docs")
 
 
 def _totals(sized: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = common.written(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), common.word_count(F.col(text_col)).alias("size"), key(F.col(id_col), seed).alias("key"),
     ), "mix")
-    out = with_taken(sized, targets(_totals(sized)))
+    out = with_taken(sized, common.written(targets(_totals(sized)), "targets"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left")))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
@@ -111,7 +113,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = docs.select(
         row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), common.word_count(F.col(text_col)).alias("size"), key(F.col(id_col), seed).alias("key"),
     )
-    per_source = targets(_totals(sized.drop("row")))
+    per_source = common.written(targets(_totals(sized.drop("row"))), "targets")
     out = with_taken(sized, per_source)
     copies = F.when(F.col("size") > 0, F.col("epochs") + F.when(2 * F.col("left") >= F.col("size"), 1).otherwise(0)).otherwise(0).cast("int")
     out = out.withColumn("copies", copies).where("copies > 0")
