@@ -304,6 +304,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 names.append("token_ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
+    common.bounded_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 

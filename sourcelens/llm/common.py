@@ -89,6 +89,18 @@ def word_count(text: Column) -> Column:
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps, whose results are written: it does so once the driver collects its garbage."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of what Python objects still hold in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound counts rows only, whatever their length.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small where texts are long: sets Spark's bound on their bytes for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

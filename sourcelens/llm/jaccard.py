@@ -125,6 +125,7 @@ def signatures(keyed: DataFrame) -> DataFrame:
                 cols = [batch.column(0).slice(at, len(ends)), pa.array(did, pa.binary()), pa.array([x.tobytes() for x in labels], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "did", "labels"])
 
+    common.bounded_batches(keyed.sparkSession)
     return keyed.select("key", _hashed(F.col("text")).alias("words")).mapInArrow(run, f"key {_KEY}, did binary, labels binary")
 
 

@@ -30,7 +30,7 @@ ROUNDS = 12
 SLACK = 0.5
 #: Characters of a text that are turned into n-grams together; texts in a matrix.
 BLOCK_CHARS = 1 << 20
-BLOCK_DOCS = 256
+BLOCK_DOCS = 64
 
 _letters: list[np.ndarray] = []
 
@@ -127,6 +127,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             arrays = [[g[0] for g in got], at, [c[i] for (_, c), i in zip(got, at)]]
             yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["lang", "at", "n"])
 
+    common.bounded_batches(labelled.sparkSession)
     most = 2 * SAMPLE_PER_LANG * len(sizes)
     got = sample.mapInArrow(features, "lang string, at array<int>, n array<int>").limit(most).toArrow().sort_by("lang")
     x, langs = np.zeros((got.num_rows, DIMS), np.float32), got["lang"].to_pylist()
@@ -170,6 +171,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                 cols = [batch.column(i).slice(at, BLOCK_DOCS) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lang), pa.array(score), pa.array(far)], [*keep, "lang_pred", "score", "rejected"])
 
+    common.bounded_batches(docs.sparkSession)
     return docs.select(*keep, text_col).mapInArrow(run, ", ".join([*kept, "lang_pred string, score double, rejected boolean"]))
 
 

@@ -125,6 +125,7 @@ def deletions(lines: DataFrame) -> DataFrame:
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch["key"], batch["source"], pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], span)], ["key", "source", "spans"])
 
+    common.bounded_batches(lines.sparkSession)
     aligned = pairs.mapInArrow(align, f"key {_KEY}, source long, spans array<struct<start:int,end:int>>").where(F.size("spans") > 0)
     return aligned.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.collect_set("source")).alias("sources"))
 
