@@ -54,8 +54,8 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(common.let(grams, count))
 
 
-def with_base(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the base columns, the number of lines with a word, and base_failed, each name after prefix."""
+def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the base columns, the number of lines with a word, and base_failed."""
     text = common.text_or_empty(F.col(text_col))
     by_word = common.let(
         common.words(F.col(text_col)),
@@ -68,19 +68,17 @@ def with_base(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Data
     n_symbols = F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))
     # an explode of one element: Catalyst moves no filter below it, so the measures are computed once
     measures = F.struct(by_word.alias("w"), by_line.alias("l"), n_symbols.cast("long").alias("s"))
-    p = lambda x: f"{prefix}{x}"
-    m = p("measures")
-    out = docs.select("*", F.explode(F.array(measures)).alias(m)).withColumns({
-        p("n_words"): F.col(f"{m}.w.n").cast("long"), p("word_chars"): F.col(f"{m}.w.chars").cast("long"), p("n_repeat_words"): F.col(f"{m}.w.repeats").cast("long"),
-        p("n_lines"): F.col(f"{m}.l.n").cast("long"), p("n_dup_lines"): F.col(f"{m}.l.dups").cast("long"), p("n_symbols"): F.col(f"{m}.s"),
-    }).drop(m)
-    n = F.col(p("n_words"))
-    return out.withColumn(p("base_failed"), (n < 50) | (100 * F.col(p("n_repeat_words")) > 50 * n))
+    out = docs.select("*", F.explode(F.array(measures)).alias("m")).withColumns({
+        "n_words": F.col("m.w.n").cast("long"), "word_chars": F.col("m.w.chars").cast("long"), "n_repeat_words": F.col("m.w.repeats").cast("long"),
+        "n_lines": F.col("m.l.n").cast("long"), "n_dup_lines": F.col("m.l.dups").cast("long"), "n_symbols": F.col("m.s"),
+    }).drop("m")
+    n = F.col("n_words")
+    return out.withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
 
 
-def rates(prefix: str = "") -> dict[str, Column]:
+def rates() -> dict[str, Column]:
     """The whole-number rates; null where they are undefined."""
-    c = lambda x: F.col(f"{prefix}{x}")
+    c = F.col
     part = lambda a, b, k: F.when(b > 0, F.floor(k * a / b)).cast("long")
     return {
         "symbol_rate": part(c("n_symbols"), c("n_words"), 1000), "dup_line_rate": part(c("n_dup_lines"), c("n_lines"), 1000),
@@ -94,10 +92,10 @@ def grid(v: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift).cast("long")
 
 
-def sketches(measured: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
+def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Sketches per language and source as rows lang, source, rate, bucket, n; they merge by adding n."""
-    values = F.array(*[F.struct(F.lit(name).alias("rate"), grid(v).alias("bucket")) for name, v in rates(prefix).items()])
-    rows = measured.where(~F.col(f"{prefix}base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.inline(values))
+    values = F.array(*[F.struct(F.lit(name).alias("rate"), grid(v).alias("bucket")) for name, v in rates().items()])
+    rows = measured.where(~F.col("base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.inline(values))
     return rows.groupBy("lang", "source", "rate", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -129,15 +127,15 @@ def fences(sketch: DataFrame) -> DataFrame:
     return out.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), f.alias("fence"))
 
 
-def judged(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "", kept: str = "kept") -> DataFrame:
+def judged(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """measured with the verdict column; the fence columns go again."""
     on = F.col(lang).eqNullSafe(F.col("fence_lang")) & F.col(source).eqNullSafe(F.col("fence_source"))
     fence = F.col("fence")
-    inside = [v <= fence[f"high_{r}"] for r, v in rates(prefix).items()]
-    inside += [rates(prefix)[r] >= fence[f"low_{r}"] for r, _, both in RATES if both]
+    inside = [v <= fence[f"high_{r}"] for r, v in rates().items()]
+    inside += [rates()[r] >= fence[f"low_{r}"] for r, _, both in RATES if both]
     good = F.coalesce(reduce(lambda a, b: a & b, inside), F.lit(False))
     # groups without a document that passes the base rules have no fence, and need none
-    return measured.join(limits, on, "left").withColumn(kept, ~F.col(f"{prefix}base_failed") & good).drop("fence", "fence_lang", "fence_source")
+    return measured.join(limits, on, "left").withColumn("kept", ~F.col("base_failed") & good).drop("fence", "fence_lang", "fence_source")
 
 
 def quality(docs: DataFrame, lang: str = "lang", source: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,12 +158,13 @@ def keep_good(docs: DataFrame, lang: str = "lang", source: str = "source", text_
     The rates are computed once for the sketches and once for the filter, so no
     text is shuffled or stored.
     """
-    prefix = "quality__"
-    measured = with_base(docs, text_col, prefix)
-    limits = common.written(fences(sketches(measured, lang, source, prefix)), "fences")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no name of docs meets one of ours
+    own = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
+    measured = with_base(own).drop("text")
+    limits = common.written(fences(sketches(measured)), "fences")
     if limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)  # some hundred bytes a group; beyond the bound the join shuffles
-    return judged(measured, limits, lang, source, prefix, f"{prefix}kept").where(f"{prefix}kept").select(*docs.columns)
+    return judged(measured, limits).where("kept").select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

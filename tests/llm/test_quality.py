@@ -22,6 +22,8 @@ def test_small_rows(spark):
     same(quality.quality(docs), quality.ORACLE, tables={"documents": arrow})
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
+    odd = docs.withColumns({"row": quality.F.lit(1), "fence": quality.F.lit(2), "m.w": quality.F.lit(3), "kept": quality.F.lit(False)})
+    assert quality.keep_good(odd).columns == odd.columns and quality.keep_good(odd).count() == 3
     assert sorted(r.doc_id for r in kept.collect()) == [6, 6, 8]
     assert quality.quality(docs.limit(0)).count() == 0 and quality.keep_good(docs.limit(0)).count() == 0
 
