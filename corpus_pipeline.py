@@ -66,11 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over the documents of sf_dir."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The result of the last stage over the documents of sf_dir; a stage's table goes once the next one is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, f in STAGES[:-1]:
-        out = f(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        out, path = f(spark, docs, sf_dir), f"{folder}/{name}"
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            common.delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

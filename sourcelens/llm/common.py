@@ -45,7 +45,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -56,13 +57,13 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     if df._written_path in _written.get(id(spark), []):
         _written[id(spark)].remove(df._written_path)
-        _delete(spark, df._written_path)
+        delete(spark, df._written_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that written() made; call it once their readers are done."""
     for path in _written.pop(id(spark), []):
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def let(value: Column, body) -> Column:
