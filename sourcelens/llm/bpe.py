@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sourcelens.llm import common
 
-#: Words kept by a worker; the cache starts anew beyond it, results do not change.
-CACHE_WORDS = 300_000
+#: Words kept by a worker; beyond it only short ones stay (most of a text's words are short), results do not change.
+CACHE_WORDS = 400_000
+KEPT_CHARS = 8
 #: Longer words are encoded without being kept.
 CACHE_CHARS = 64
 #: Words that are encoded and hashed together.
@@ -97,7 +98,13 @@ class BytePairCoder:
         for t in made[np.argsort(self.rank_of[made], kind="stable")]:
             good[t] &= good[self.left[t]] and good[self.right[t]]
         self.proposable = {t: i for t, i in self.vocab.items() if good[i]}
-        self.longest = max(map(len, self.proposable))
+        self.starts: dict[str, int] = {}  # every beginning of a proposable token: the token's id if it is one itself, else -1
+        for t, i in self.proposable.items():
+            body = t.removesuffix(self.suffix) if self.suffix else t
+            for end in range(1, len(body) + 1):
+                self.starts.setdefault(body[:end], -1)
+            if body == t:
+                self.starts[t] = i
 
     def _cut_patterns(self) -> None:
         """The simple range is U+0000 to U+02FF: NFC leaves it alone and lower() has no context there."""
@@ -148,16 +155,17 @@ class BytePairCoder:
 
     def propose(self, symbols: str) -> list[int]:
         """Greedy longest match; the last token carries the end of the word."""
-        out, at, n, known, longest = [], 0, len(symbols), self.proposable, self.longest
+        out, at, n, starts, suffix = [], 0, len(symbols), self.starts, self.suffix
         while at < n:
-            if n - at <= longest and (i := known.get(symbols[at:] + self.suffix)) is not None:
-                out.append(i)
-                break
-            for end in range(min(n - bool(self.suffix), at + longest), at, -1):
-                if (i := known.get(symbols[at:end])) is not None:
-                    break
-            out.append(i)
-            at = end
+            end, stop, best = at + 1, at + 1, -1
+            while end <= n and (i := starts.get(symbols[at:end])) is not None:
+                if i >= 0 and (end < n or not suffix):
+                    best, stop = i, end
+                end += 1
+            if end > n and suffix and (i := self.proposable.get(symbols[at:] + suffix)) is not None:
+                best, stop = i, n
+            out.append(best)
+            at = stop
         return out
 
     def compatible(self, first: np.ndarray, second: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
@@ -236,7 +244,10 @@ class BytePairCoder:
         """For every word of the block: its ids as text, their number, its decoded text."""
         cache = self.cache
         if len(cache) > CACHE_WORDS:
-            cache.clear()
+            for w in [w for w in cache if len(w) > KEPT_CHARS]:
+                del cache[w]
+            if len(cache) > CACHE_WORDS // 2:
+                cache.clear()
         for w in self.passing:
             cache.pop(w, None)
         self.passing = [w for w in block if len(w) > CACHE_CHARS]
