@@ -15,15 +15,15 @@ from sourcelens.functions.frames import kept
 
 #: Texts that stand for a missing key, compared without case.
 MISSING = ("", "nan", "none", "<na>")
-#: All Unicode white space and the ASCII separators, at either end.
-_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: All Unicode white space and the ASCII separators: what Python's str.strip() removes.
+SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 KeySpec = str | Sequence[str]
 
 
 def stripped(value: Column) -> Column:
     """Text without white space at its ends, of any Unicode kind."""
-    return F.regexp_replace(value.cast("string"), _ENDS, "")
+    return F.btrim(value.cast("string"), F.lit(SPACE))
 
 
 def text_key(value: Column, missing: Sequence[str] = MISSING) -> Column:

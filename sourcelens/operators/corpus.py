@@ -93,6 +93,7 @@ class Corpus:
     def _checked(cls, records, projection, name, weighting, duplicates, specs, hierarchy, weight_column, warn: bool = True) -> Corpus:
         """Checks in order: rows left, weights, one group per unit, one parent per unit, duplicates."""
         _check_policy(duplicates)
+        projection = projection.persist()  # read by every check and by the diagnostics after them
         analysis = projection.where("complete")
         _check_weights(analysis)
         impure = [r.unit for r in tables.impure_units(analysis).orderBy("unit").limit(5).collect()]

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcelens.functions.frames import ratio, xlog2x
+from sourcelens.functions.frames import attach, ratio, xlog2x
 from sourcelens.functions.keys import KeySpec, as_spec, key
 
 COLUMNS = [
@@ -26,11 +26,20 @@ def grain_map(grains: Mapping[str, KeySpec] | Sequence[str]) -> dict[str, KeySpe
     return out
 
 
-def score_long(rows: DataFrame) -> DataFrame:
-    """rows (grain, source, unit, group, weight) scored per grain, in one pass for all grains."""
-    live = rows.groupBy("grain").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("unit").alias("n_units"), F.count_distinct("group").alias("n_groups"))
-    live = F.broadcast(live)  # one row per grain
-    w = rows.groupBy("grain", "source", "group").agg(F.sum("weight").alias("weight")).join(live.select("grain", "total"), "grain").withColumn("p", ratio(F.col("weight"), F.col("total")))
+def _source_key(spec: KeySpec):
+    """A grain's source as one text: the key itself, or the JSON of a composite one."""
+    return key(spec) if len(as_spec(spec, "grain")) == 1 else F.when(key(spec).isNotNull(), F.to_json(F.struct(key(spec).alias("k"))))
+
+
+def score_long(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """rows (grain, source, group, weight) scored per grain, in one pass for all grains.
+
+    shared (unit, group, weight) are the rows that all grains have in common; their
+    numbers and total are taken once and not per grain.
+    """
+    live = shared.agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("unit").alias("n_units"), F.count_distinct("group").alias("n_groups"))
+    w = rows.groupBy("grain", "source", "group").agg(F.sum("weight").alias("weight"))
+    w = attach(w, live.select("total")).withColumn("p", ratio(F.col("weight"), F.col("total")))
     by_source = w.groupBy("grain", "source").agg(F.sum("p").alias("n"), F.sum(xlog2x(F.col("p"))).alias("s"), F.count_if(F.col("p") > 0).alias("k"))
     within = F.when(F.col("k") > 1, F.greatest(xlog2x(F.col("n")) - F.col("s"), F.lit(0.0))).otherwise(0.0)
     sources = by_source.groupBy("grain").agg(
@@ -38,7 +47,7 @@ def score_long(rows: DataFrame) -> DataFrame:
         F.count_if((F.col("n") > 0) & (F.col("k") <= 1)).alias("n_nested_sources"), F.count_if(F.col("n") <= 0).alias("n_zero_weight_sources"),
     )
     groups = w.groupBy("grain", "group").agg(F.sum("p").alias("n")).groupBy("grain").agg((-F.sum(xlog2x(F.col("n")))).alias("h"), F.count_if(F.col("n") > 0).alias("g"))
-    out = sources.join(groups, "grain").join(live, "grain")
+    out = attach(sources.join(groups, "grain"), live)
     out = out.withColumn("h_group", F.when(F.col("g") <= 1, F.lit(0.0)).otherwise(F.greatest(F.col("h"), F.lit(0.0))))
     out = out.withColumn("h_group_given_source", F.least("h_within", "h_group"))
     r = ratio(F.col("h_group_given_source"), F.col("h_group"))
@@ -63,10 +72,12 @@ def score_grains(df: DataFrame, grains: Mapping[str, KeySpec] | Sequence[str], *
         incomplete |= F.col(f"`{c}`").isNull()
     if not dropna and not df.where(incomplete).isEmpty():
         raise ValueError("there are rows with nulls in the columns of the sweep")
-    labels = [F.struct(F.lit(label).alias("grain"), F.to_json(F.struct(key(spec).alias("k"))).alias("source")) for label, spec in specs.items()]
+    labels = [F.struct(F.lit(label).alias("grain"), _source_key(spec).alias("source")) for label, spec in specs.items()]
     mass = F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)
-    keyed = df.where(~incomplete).select(F.explode(F.array(*labels)).alias("g"), key(unit).alias("unit"), key(group).alias("group"), mass.alias("weight"))
-    return score_long(keyed.select("g.grain", "g.source", "unit", "group", "weight"))
+    whole = df.where(~incomplete)
+    shared = whole.select(key(unit).alias("unit"), key(group).alias("group"), mass.alias("weight"))
+    keyed = whole.select(F.explode(F.array(*labels)).alias("g"), key(group).alias("group"), mass.alias("weight"))
+    return score_long(keyed.select("g.grain", "g.source", "group", "weight"), shared)
 
 
 def grain_sweep(corpus, columns: Mapping[str, KeySpec] | Sequence[str]) -> DataFrame:
@@ -78,13 +89,12 @@ def grain_sweep(corpus, columns: Mapping[str, KeySpec] | Sequence[str]) -> DataF
     absent = [c for s in specs.values() for c in as_spec(s, "grain") if c not in corpus.records.columns]
     if absent:
         raise KeyError(f"no columns {absent} among {corpus.records.columns}")
-    labels = [F.struct(F.lit(label).alias("grain"), key(spec).alias("k0")) for label, spec in specs.items()]
-    texts = [F.struct(x["grain"].alias("grain"), F.when(x["k0"].isNotNull(), F.to_json(F.struct(x["k0"].alias("k")))).alias("source")) for x in labels]
+    texts = [F.struct(F.lit(label).alias("grain"), _source_key(spec).alias("source")) for label, spec in specs.items()]
     sources = corpus.records.select("row_position", F.explode(F.array(*texts)).alias("g")).select("row_position", "g.grain", "g.source")
-    rows = corpus.projection.where("analysis_included").select("row_position", "unit", "group", "weight").join(sources, "row_position")
+    rows = corpus.projection.where("analysis_included").select("row_position", "group", "weight").join(sources, "row_position")
     if lost := rows.where("source is null").limit(1).collect():
         raise ValueError(f"a row has no value for grain {lost[0].grain!r}")
-    return score_long(rows.select("grain", "source", "unit", "group", "weight"))
+    return score_long(rows.select("grain", "source", "group", "weight"), corpus.frame)
 
 
 def ranked(scores: DataFrame, ascending: bool = True) -> DataFrame:
