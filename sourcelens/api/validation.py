@@ -104,16 +104,20 @@ def _any(flags: list[Column]) -> Column:
 
 
 class _Issues:
-    """Collects issues; every rule is one aggregate over the marked rows."""
+    """Collects issues. The rows that plain rules mark are counted in one aggregate; positions are fetched for rules that mark any."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, flags: list[str]):
         self.rows, self.found, self.error_flags = rows, [], []
+        counted = rows.agg(F.count(F.lit(1)), *[F.count_if(F.coalesce(F.col(f), F.lit(False))) for f in flags]).first()
+        self.n_records, self.counts = counted[0], dict(zip(flags, counted[1:]))
 
     def add(self, code: str, severity: str, columns=(), flag: str | None = None, rows: DataFrame | None = None) -> bool:
         positions, n = (), 0
         if flag is not None:
+            if rows is None and not self.counts[flag]:
+                return False
             marked = (self.rows if rows is None else rows).where(F.col(flag))
-            n = marked.count()
+            n = marked.count() if rows is not None else self.counts[flag]
             if not n:
                 return False
             positions = tuple(r[0] for r in marked.select(POSITION).orderBy(POSITION).limit(LISTED).collect())
@@ -151,11 +155,12 @@ def assess(df: DataFrame, config: AnalysisConfig) -> Assessment:
 
     rows = df if POSITION in df.columns else with_row_position(df, POSITION)
     rows = _normalized(rows, df, config, key_columns, roles, levels, weight_column, given).persist()
-    counts["n_records"] = rows.count()
+    flags = [f"k{i}_{e}" for i in range(len(key_columns)) for e in ("invalid", "reserved", "changed")]
+    issues = _Issues(rows, [*flags, "missing_key", "bad_weight", "eligible"])
+    counts["n_records"] = issues.n_records
     if not counts["n_records"]:
         counts.update({k: 0 for k in COUNTS}, total_weight=0.0)
         return stop("empty_input")
-    issues = _Issues(rows)
     _key_rules(issues, config, key_columns, roles, levels)
     if weight_column:
         issues.add("invalid_weight", "error", [weight_column], "bad_weight")
@@ -263,13 +268,13 @@ def _duplicates(issues: _Issues, rows: DataFrame, config: AnalysisConfig, roles,
 
 
 def _totals(issues: _Issues, rows: DataFrame, retained: DataFrame, counts, config: AnalysisConfig, roles) -> None:
-    dropped = rows.where("missing_key").count() if config.policies.missing_required == "drop" else 0
-    counts["n_key_complete"] = rows.where("eligible").count()
+    dropped = issues.counts["missing_key"] if config.policies.missing_required == "drop" else 0
+    counts["n_key_complete"] = issues.counts["eligible"]
     row = retained.agg(
         F.count(F.lit(1)).alias("n"), *[F.count_distinct(f"role_{r}").alias(r) for r in ROLES], F.count_if(F.col("weight").isNull()).alias("bad"), F.sum("weight").alias("total"),
         F.count_distinct(F.when(F.col("weight") > 0, F.col("role_group"))).alias("live"),
     ).first()
-    counts.update(n_retained=row.n, n_excluded=dropped + rows.where("collapsed").count(), n_sources=row.source, n_units=row.unit, n_groups=row.group)
+    counts.update(n_retained=row.n, n_excluded=dropped + issues.counts["eligible"] - row.n, n_sources=row.source, n_units=row.unit, n_groups=row.group)
     everything = retained.withColumn("hit", F.lit(True))
     if not row.n:
         counts["total_weight"] = 0.0
