@@ -2,8 +2,9 @@
 
 Documents that share a rare line hash are aligned by patience diff, and the
 aligned common blocks are deleted from the later document. A hash that
-documents can be found by covers a window of lines, or one long line, so that
-it is far rarer than the lines themselves. However many documents hold a hash,
+documents can be found by covers the shortest run of lines that may be deleted,
+from where it begins or back from where it ends, so that it is far rarer than
+the lines themselves and every block that may be deleted holds one. However many documents hold a hash,
 each later one is aligned with the first holder only: links are at most one per
 row, and no hash is too common to be used. The first holder has the whole
 window too, so every repeated window lies in a common block of some alignment.
@@ -43,13 +44,32 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 
 def finding_hashes(lines: DataFrame) -> DataFrame:
-    """key, f: distinct hashes of every window of MIN_LINES lines with a word and of every long line."""
-    worded = F.filter("h", lambda v: v != 0)
-    windows = common.let(worded, lambda w: F.transform(
-        F.slice(w, 1, F.greatest(F.size(w) - (MIN_LINES - 1), F.lit(0))), lambda v, i: F.xxhash64(F.lit(1), v, *[F.get(w, i + k) for k in range(1, MIN_LINES)]),
-    ))
-    long = F.transform(F.filter(F.arrays_zip("h", "size"), lambda z: z["size"] >= MIN_CHARS), lambda z: F.xxhash64(F.lit(2), z["h"]))
-    return lines.select("key", F.explode(F.array_distinct(F.concat(windows, long))).alias("f"))
+    """key, f: distinct hashes of every run of runs(), in lines with a word."""
+    z = F.filter(F.arrays_zip("h", "size"), lambda v: v["h"] != 0)
+
+    def hashes(w: Column, n: int) -> Column:
+        def one(_: Column, i: Column) -> Column:
+            at = [F.get(w, i + k) for k in range(n)]
+            total = lambda part: sum((v["size"] for v in part), F.lit(0))
+            ok = (F.lit(n >= MIN_LINES) | (total(at) >= MIN_CHARS)) & ((total(at[:-1]) < MIN_CHARS) | (total(at[1:]) < MIN_CHARS))
+            return F.when(ok, F.xxhash64(F.lit(n), *[v["h"] for v in at]))
+
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0))), one)
+
+    every = common.let(z, lambda w: F.concat(*[hashes(w, n) for n in range(1, MIN_LINES + 1)]))
+    return lines.select("key", F.explode(F.array_compact(F.array_distinct(every))).alias("f"))
+
+
+def runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs [start, end) of worded lines that may be deleted and that lose this without their first or without their last line.
+
+    Every longer run that may be deleted is covered by such runs inside it.
+    """
+    for i in range(len(sizes)):
+        for n in range(1, min(MIN_LINES, len(sizes) - i) + 1):
+            part = sizes[i : i + n]
+            if (n >= MIN_LINES or sum(part) >= MIN_CHARS) and (sum(part[:-1]) < MIN_CHARS or sum(part[1:]) < MIN_CHARS):
+                yield i, i + n
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:

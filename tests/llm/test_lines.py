@@ -99,3 +99,28 @@ def test_query(spark):
     for i, t in want:
         assert got[i].left_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert sum(r.n_deleted for r in got.values()) > 0
+
+
+def held_before(rows):
+    """(id, text) to the worded lines left, by all pairs: a line goes if an earlier document has it in a common run that may be deleted."""
+    out, before = {}, set()
+    for i, t in sorted(rows):
+        w = [x.strip(SPACE) for x in t.split("\n")]
+        w = [x for x in w if x]
+        every = [(a, b) for a in range(len(w)) for b in range(a + 1, len(w) + 1) if b - a >= lines.MIN_LINES or sum(map(len, w[a:b])) >= lines.MIN_CHARS]
+        gone = {k for a, b in every if tuple(w[a:b]) in before for k in range(a, b)}
+        before |= {tuple(w[a:b]) for a, b in every}
+        out[i] = [x for k, x in enumerate(w) if k not in gone]
+    return out
+
+
+def left(spark, rows):
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r.doc_id: [x.strip(SPACE) for x in r.text.split("\n") if x.strip(SPACE)] for r in got}
+
+
+def test_two_lines_of_enough_characters(spark):
+    """A block of two lines that only together have the characters is found without a longer common one."""
+    a, b = "a" * 120, "b" * 120
+    rows = [(1, f"u\n{a}\n{b}\nv"), (2, f"x\n{a}\n{b}\ny"), (3, f"{a}\nz\n{b}")]
+    assert left(spark, rows) == held_before(rows) == {1: ["u", a, b, "v"], 2: ["x", "y"], 3: [a, "z", b]}
