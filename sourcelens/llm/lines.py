@@ -1,13 +1,15 @@
 """Line dedup by pairwise alignment.
 
 Documents that share a rare line hash are aligned by patience diff, and the
-aligned common blocks are deleted from the later document. A hash that
-documents can be found by covers the shortest run of lines that may be deleted,
-from where it begins or back from where it ends, so that it is far rarer than
-the lines themselves and every block that may be deleted holds one. However many documents hold a hash,
-each later one is aligned with the first holder only: links are at most one per
-row, and no hash is too common to be used. The first holder has the whole
-window too, so every repeated window lies in a common block of some alignment.
+aligned common blocks are deleted from the later document. Lines without a word
+take no part in the alignment. A hash that documents can be found by covers the
+shortest run of lines that may be deleted, from where it begins or back from
+where it ends; these runs cover every block that may be deleted. However many
+documents hold a hash, each later one is aligned with the first holder only:
+links are at most one per row, and no hash is too common to be used. The first
+holder has the whole run too. Shared runs that patience leaves (blocks that
+cross, lines that repeat) are aligned at their first place in the holder, so
+every line in a shared run is deleted, and later holders can add none.
 """
 
 from __future__ import annotations
@@ -119,11 +121,35 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
 
 
 def common_spans(later: list[int], sizes: list[int], first: list[int]) -> list[tuple[int, int]]:
-    """Spans [start, end) of lines of the later document that aligned blocks of enough lines or characters cover."""
-    out = []
-    for i, _, n in patience(later, first):
-        if sum(1 for v in later[i : i + n] if v) >= MIN_LINES or sum(sizes[i : i + n]) >= MIN_CHARS:
-            out.append((i, i + n))
+    """Spans [start, end) of lines of the later document that common blocks of enough lines or characters cover, in order, apart.
+
+    Blocks are aligned over the lines with a word; lines without one go with the
+    block around them, and beside it where both documents have them.
+    """
+    at, other = ([k for k, v in enumerate(x) if v] for x in (later, first))
+    own, size, held = [later[k] for k in at], [sizes[k] for k in at], [first[k] for k in other]
+    blocks = [(i, j, n) for i, j, n in patience(own, held) if n >= MIN_LINES or sum(size[i : i + n]) >= MIN_CHARS]
+    block = [-1] * len(own)
+    for k, (i, _, n) in enumerate(blocks):
+        block[i : i + n] = [k] * n
+    left = [(a, b) for a, b in runs(size) if block[a] < 0 or block[a] != block[b - 1]]
+    if left:
+        place: dict[tuple[int, ...], int] = {}
+        for n in range(1, MIN_LINES + 1):
+            for j in range(len(held) - n + 1):
+                place.setdefault(tuple(held[j : j + n]), j)
+        blocks += [(a, place[tuple(own[a:b])], b - a) for a, b in left if tuple(own[a:b]) in place]
+    out: list[tuple[int, int]] = []
+    for i, j, n in sorted(blocks):
+        a, b, x, y = at[i], at[i + n - 1] + 1, other[j], other[j + n - 1] + 1
+        while a and x and not later[a - 1] and not first[x - 1]:
+            a, x = a - 1, x - 1
+        while b < len(later) and y < len(first) and not later[b] and not first[y]:
+            b, y = b + 1, y + 1
+        if out and a <= out[-1][1]:
+            out[-1] = (min(a, out[-1][0]), max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 

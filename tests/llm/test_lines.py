@@ -124,3 +124,30 @@ def test_two_lines_of_enough_characters(spark):
     a, b = "a" * 120, "b" * 120
     rows = [(1, f"u\n{a}\n{b}\nv"), (2, f"x\n{a}\n{b}\ny"), (3, f"{a}\nz\n{b}")]
     assert left(spark, rows) == held_before(rows) == {1: ["u", a, b, "v"], 2: ["x", "y"], 3: [a, "z", b]}
+
+
+def test_blocks_that_patience_leaves(spark):
+    """Crossing blocks, other line spacing and lines that repeat in a document."""
+    x, y = "x1\nx2\nx3", "y1\ny2\ny3"
+    rows = [(1, f"{x}\n{y}"), (2, f"{y}\n{x}"), (3, "a\nb\nc\no"), (4, "p\na\n\nb\n\nc\nq"), (5, "r\ns\nr\nt\nr"), (6, "1\nr\ns\nr\n2\ns\nr\nt\n3\nr\ns\nr\nt")]
+    got = left(spark, rows)
+    assert got == held_before(rows) and got[2] == [] and got[4] == ["p", "q"] and got[6] == ["1", "2", "3"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_pairs(spark, seed):
+    """Lines of all sizes, few enough to cross and repeat, with blank ones between: nothing of a shared run is left."""
+    rng = random.Random(seed)
+    pool = [f"{i}" * rng.choice([1, 30, 60, 110]) for i in range(14)]
+    rows = [(i, "\n".join(rng.choice([*pool, ""]) for _ in range(rng.randint(1, 9)))) for i in range(50)]
+    assert left(spark, rows) == held_before(rows)
+    code = {x: k + 1 for k, x in enumerate(pool)} | {"": 0}
+    cut = {i: t.split("\n") for i, t in rows}
+    for i in cut:  # what patience aligns with any earlier document is gone too
+        gone = held_before(rows)[i]
+        for j in range(i):
+            w, f = ([code[x] for x in cut[k] if x] for k in (i, j))
+            for a, _, n in lines.patience(w, f):
+                words = [x for x in cut[i] if x][a : a + n]
+                if n >= lines.MIN_LINES or sum(map(len, words)) >= lines.MIN_CHARS:
+                    assert len(gone) <= len(w) - n
