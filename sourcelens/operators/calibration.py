@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_EXHAUSTIVE = 100_000_000
 SAMPLES = 200_000
 BINS = 200_000
 CHUNK = 100_000
+#: Entries of the masks that a task holds at once.
+CHUNK_CELLS = 4_000_000
 #: Values a caller may keep.
 MAX_KEEP = 5_000_000
 
@@ -52,8 +54,9 @@ def matrix(pairs: DataFrame, most: int = 5000) -> tuple[list[str], np.ndarray]:
         raise ValueError(f"a split null over more than {most} units is not supported")
     at = {u: k for k, u in enumerate(units)}
     s = np.zeros((len(units), len(units)))
-    for r in pairs.select("i", "j", "similarity").collect():
-        s[at[r.i], at[r.j]] = s[at[r.j], at[r.i]] = r.similarity
+    for batch in pairs.select("i", "j", "similarity").toArrow().to_batches():
+        i, j = ([at[u] for u in batch[c].to_pylist()] for c in ("i", "j"))
+        s[i, j] = s[j, i] = batch["similarity"].to_numpy(zero_copy_only=False)
     if not np.isfinite(s).all():
         raise ValueError("similarities must be finite")
     return units, s
@@ -110,11 +113,42 @@ def sampled_ranks(space: int, size: int, seed: int) -> np.ndarray:
     return np.sort(rng.permutation(got)[:size])
 
 
+def drawn_masks(draws: np.ndarray, n: int, n_a: int, seed: int) -> np.ndarray:
+    """A uniformly random partition for each numbered draw, the same for a seed; unit 0 is on side A if both sides are equal in size."""
+    masks = np.zeros((len(draws), n), bool)
+    for mask, k in zip(masks, draws):
+        mask[np.random.default_rng([seed, int(k)]).permutation(n)[:n_a]] = True
+    return ~masks ^ masks[:, :1] if 2 * n_a == n else masks
+
+
+def distinct_draws(spark: SparkSession, n: int, n_a: int, samples: int, seed: int) -> DataFrame:
+    """rank: the first `samples` draws whose partitions no draw before them has."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            size = max(1, CHUNK_CELLS // n)
+            for at in range(0, len(batch), size):
+                ranks = batch["rank"].to_numpy()[at : at + size]
+                yield pd.DataFrame({"rank": ranks, "mask": [m.tobytes() for m in np.packbits(drawn_masks(ranks, n, n_a, seed), axis=1)]})
+
+    draws = samples
+    while True:
+        every = spark.range(draws).withColumnRenamed("id", "rank")
+        firsts = every.mapInPandas(run, "rank long, mask binary").groupBy("mask").agg(F.min("rank").alias("rank")).select("rank")
+        found = firsts.count()
+        if found >= samples:
+            return every if found == draws else firsts.orderBy("rank").limit(samples)
+        draws += 2 * (samples - found) + 16
+
+
 def null_statistics(pairs: DataFrame, n_a: int, *, exhaustive: bool | None = None, samples: int = SAMPLES, seed: int = 0, units: Sequence[str] | None = None, max_exhaustive: int = MAX_EXHAUSTIVE) -> tuple[DataFrame, dict]:
     """rank, gap for every evaluated partition, and the plan: n, n_a, n_partitions, n_evaluated, exhaustive, reach.
 
     Partitions are numbered, so tasks make their own from ranges of numbers; the
-    small matrix of similarities goes to the executors once.
+    small matrix of similarities goes to the executors once. In a space too large
+    to number, rank is the number of a random draw instead.
     """
     if units is not None:
         wanted = list(map(str, units))
@@ -129,6 +163,8 @@ def null_statistics(pairs: DataFrame, n_a: int, *, exhaustive: bool | None = Non
     everything = space <= max_exhaustive if exhaustive is None else exhaustive
     if not everything and (samples >= space or 2 * samples >= space and space <= max_exhaustive):
         everything = True
+    numbered = everything or space < 2**62
+    size = max(1, min(CHUNK, CHUNK_CELLS // n))
     spark = pairs.sparkSession
     shared = spark.sparkContext.broadcast(s)
 
@@ -137,15 +173,16 @@ def null_statistics(pairs: DataFrame, n_a: int, *, exhaustive: bool | None = Non
 
         s = shared.value
         for batch in batches:
-            for at in range(0, len(batch), CHUNK):
-                ranks = batch["rank"].to_numpy()[at : at + CHUNK]
-                yield pd.DataFrame({"rank": ranks, "gap": gap_batch(s, partition_masks(ranks, n, n_a))})
+            for at in range(0, len(batch), size):
+                ranks = batch["rank"].to_numpy()[at : at + size]
+                masks = partition_masks(ranks, n, n_a) if numbered else drawn_masks(ranks, n, n_a, seed)
+                yield pd.DataFrame({"rank": ranks, "gap": gap_batch(s, masks)})
 
     if everything:
         todo = spark.range(0, space, 1, max(1, min(4096, space // CHUNK))).withColumnRenamed("id", "rank")
+    elif not numbered:
+        todo = distinct_draws(spark, n, n_a, samples, seed)
     else:
-        if space >= 2**62:
-            raise ValueError("the space of partitions is too large to number")
         todo = spark.createDataFrame([(int(r),) for r in sampled_ranks(space, samples, seed)], "rank long")
     off = s[~np.eye(n, dtype=bool)]
     plan = {"n": n, "n_a": n_a, "n_partitions": space, "n_evaluated": space if everything else samples, "exhaustive": everything, "reach": float(np.ptp(off)), "seed": None if everything else seed}
