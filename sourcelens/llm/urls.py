@@ -23,7 +23,7 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: Share of the labelled URLs that a mined combination needs.
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
-#: Tokens in a mined rule's antecedent at most; longer ones only refine it.
+#: Length to which the tests' brute force lists combinations; mined rules have any length.
 MOST_TOKENS = 3
 #: The verdict where no rule matches.
 DEFAULT = "allow"
@@ -68,7 +68,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     items = labelled.select(F.array_append("tokens", F.concat(F.lit(_LABEL), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     mined = model.associationRules.where(F.col("consequent")[0].startswith(_LABEL)).where(~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
-    rules = mined.where(F.size("antecedent") <= MOST_TOKENS).select(
+    rules = mined.select(
         F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 1000).alias("verdict"), "confidence", "support"
     )
     rules = common.written(rules, "rules")

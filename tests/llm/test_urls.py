@@ -71,3 +71,18 @@ def test_mined_rules_brute_force(spark):
                 assert abs(g.confidence - want) < 1e-9
                 assert abs(brute_best(r.t, labelled, 0.02, urls.MIN_CONFIDENCE, (g.verdict,)) - want) < 1e-9
     assert n > 0
+
+
+def test_rules_of_every_length(spark):
+    """Four tokens together imply a verdict that no three of them do."""
+    four = ["a", "b", "c", "d"]
+    rows = [(four, "block")] * 4 + [(list(t), "allow") for t in combinations(four, 3)] * 2
+    rules = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8)
+    want = set()
+    for k in range(1, 5):
+        for t in combinations(four, k):
+            hits = [v for x, v in rows if set(t) <= set(x)]
+            want |= {(t, v) for v in ("allow", "block") if hits.count(v) >= 0.8 * len(hits)}
+    assert {(tuple(r.antecedent), r.verdict) for r in rules.collect()} == want == {(tuple(four), "block")}
+    got = urls.match(spark.createDataFrame([("u", [*four, "e"]), ("v", four[:3])], "url string, tokens array<string>"), rules).collect()
+    assert [(r.url, r.mined, r.confidence) for r in got] == [("u", "block", 1.0)]
