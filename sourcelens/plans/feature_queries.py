@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None, digits: int = 9):
 def event_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with the shares of their event types: one block of a composition."""
     e = D.read(spark, sf_dir, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(100).collect()]
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]
     share = [F.avg((F.col("event_type") == k).cast("double")) for k in kinds]
     return e.groupBy(F.col("user_id").cast("string").alias("unit")).agg(F.array(F.array(*share)).alias("x"))
 
@@ -38,6 +38,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.profiles(e, "vec_id", "embedding")
 
 
+def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as profiles of one block."""
+    return metrics.profiles(D.read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = D.read(spark, sf_dir, "embeddings").where("label in (0, 1)")
     return e.select(F.col("vec_id").cast("string").alias("unit"), F.when(F.col("label") == 0, "a").otherwise("b").alias("side"))
@@ -84,6 +89,14 @@ def pearson(spark, sf_dir):
     return metrics.pearson(vectors(spark, sf_dir))
 
 
+_ALL_VECTORS = _VECTORS.replace(" WHERE label IN (0, 1)", "")
+
+
+@query("pearson_all", f"{_ALL_VECTORS} SELECT i, j, round(sqrt(1 - r), 6) AS distance, round(r, 6) + 0.0 AS similarity FROM pr", 6)
+def pearson_all(spark, sf_dir):
+    return metrics.pearson(all_vectors(spark, sf_dir))
+
+
 @query("dispersion_gap", f"{_VECTORS} SELECT round(abs(avg(r) FILTER (li = 0 AND lj = 0) - avg(r) FILTER (li = 1 AND lj = 1)), 9) AS gap FROM pr")
 def dispersion_gap(spark, sf_dir):
     return calibration.gap_of(metrics.pearson(vectors(spark, sf_dir)), _members(spark, sf_dir))
@@ -145,9 +158,15 @@ def split_null(spark, sf_dir):
     return stats.agg(F.count(F.lit(1)).alias("n_evaluated"), F.max("gap").alias("maximum"), F.avg("gap").alias("mean"), F.count_if(F.col("gap") >= 0.05).alias("n_reaching"))
 
 
+def _halves(spark, sf_dir):
+    """Similarities of all embeddings, and half their number."""
+    p = all_vectors(spark, sf_dir)
+    return metrics.pearson(p), p.count() // 2
+
+
 @query("split_null_sampled")
 def split_null_sampled(spark, sf_dir):
-    stats, _ = calibration.null_statistics(metrics.pearson(vectors(spark, sf_dir)), 20, samples=20_000, seed=3, units=[r.unit for r in _members(spark, sf_dir).orderBy("unit").limit(40).collect()])
+    stats, _ = calibration.null_statistics(*_halves(spark, sf_dir), samples=20_000, seed=3)
     return stats.agg(F.count(F.lit(1)).alias("n_evaluated"), F.max("gap").alias("maximum"), F.median("gap").alias("median"))
 
 
@@ -233,13 +252,13 @@ def infer_columns(spark, sf_dir):
 
 @query("median_split")
 def median_split(spark, sf_dir):
-    v = [float(r.n) for r in D.read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy("user_id").limit(20).collect()]
+    v = [float(r.n) for r in D.read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy("user_id").collect()]
     sides, _ = calibration.median_split_indices(v)
     return spark.createDataFrame([(k, list(map(int, s))) for k, s in enumerate(sides)], "variant int, side_a array<int>")
 
 
 @query("null_histogram")
 def null_histogram(spark, sf_dir):
-    r = calibration.arbitrary_split_null(_ten_vectors(spark, sf_dir), 5, bins=20, observed=0.05)
+    r = calibration.arbitrary_split_null(*_halves(spark, sf_dir), bins=20, observed=0.05, samples=20_000)
     rows = spark.createDataFrame([(int(b), int(k)) for b, k in r.histogram], "bin int, n long")
     return rows.withColumn("cumulative", F.sum("n").over(Window.orderBy("bin")))
