@@ -292,6 +292,7 @@ def coder(path: str) -> BytePairCoder:
     return _coders[path]
 
 
+@common.tracked
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode it again, and return digests of both.
 
@@ -315,7 +316,6 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 names.append("token_ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    common.bounded_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -326,6 +326,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@common.tracked
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of documents."""
     return encode_decode(common.table(spark, sf_dir, "documents"), tokenizer_path())

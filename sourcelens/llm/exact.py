@@ -151,6 +151,7 @@ def look_up(new: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
     return dealt.applyInArrow(one, _GROUP + ", member boolean")
 
 
+@common.tracked
 def exact_dedup(docs: DataFrame, history_below: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keeps one row of each group of equal texts (A-Z lower-cased, null as empty): the one with the largest id.
 
@@ -181,6 +182,7 @@ def exact_dedup(docs: DataFrame, history_below: int | None = None, id_col: str =
     )
 
 
+@common.tracked
 def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents."""
     return exact_dedup(common.table(spark, sf_dir, "documents"))

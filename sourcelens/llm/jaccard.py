@@ -125,7 +125,6 @@ def signatures(keyed: DataFrame) -> DataFrame:
                 cols = [batch.column(0).slice(at, len(ends)), pa.array(did, pa.binary()), pa.array([x.tobytes() for x in labels], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "did", "labels"])
 
-    common.bounded_batches(keyed.sparkSession)
     return keyed.select("key", _hashed(F.col("text")).alias("words")).mapInArrow(run, f"key {_KEY}, did binary, labels binary")
 
 
@@ -279,6 +278,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return rows.select("key", "did").join(common.written(out, "classes"), F.col("did") == F.col("d")).select("key", "root", "links")
 
 
+@common.tracked
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Classes of near-duplicate texts: id_col, class_id, class_size, n_links, one row per row of docs.
 
@@ -298,6 +298,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.unionByName(none.select(own.alias(id_col), own.alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links")))
 
 
+@common.tracked
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs with one row of each class: that with the least id (null ids last), and of equal rows any one."""
     found = common.written(classes(docs, id_col, text_col, threshold, recall), "linked")
@@ -314,6 +315,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept.select("row.*").unionByName(keyed.where(empty).select("row.*"))
 
 
+@common.tracked
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return jaccard_join(common.table(spark, sf_dir, "documents"))

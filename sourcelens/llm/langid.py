@@ -127,7 +127,6 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             arrays = [[g[0] for g in got], at, [c[i] for (_, c), i in zip(got, at)]]
             yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["lang", "at", "n"])
 
-    common.bounded_batches(labelled.sparkSession)
     most = 2 * SAMPLE_PER_LANG * len(sizes)
     got = sample.mapInArrow(features, "lang string, at array<int>, n array<int>").limit(most).toArrow().sort_by("lang")
     x, langs = np.zeros((got.num_rows, DIMS), np.float32), got["lang"].to_pylist()
@@ -171,7 +170,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                 cols = [batch.column(i).slice(at, BLOCK_DOCS) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lang), pa.array(score), pa.array(far)], [*keep, "lang_pred", "score", "rejected"])
 
-    common.bounded_batches(docs.sparkSession)
     return docs.select(*keep, text_col).mapInArrow(run, ", ".join([*kept, "lang_pred string, score double, rejected boolean"]))
 
 
@@ -180,6 +178,7 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+@common.tracked
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fits on the rows that are not held out and predicts every row: id_col, held_out, lang_pred, score, rejected.
 
@@ -191,6 +190,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(own, model, ["id", "held_out"]).withColumnRenamed("id", id_col)
 
 
+@common.tracked
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return identify(common.table(spark, sf_dir, "documents"))

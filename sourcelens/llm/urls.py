@@ -95,6 +95,7 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("url").agg(F.max(rank).alias("best")).select("url", F.col("best.mined").alias("mined"), F.col("best.confidence").alias("confidence"))
 
 
+@common.tracked
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Verdict for every row of pages.
 
@@ -117,6 +118,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_
     )
 
 
+@common.tracked
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL verdicts of all pages."""
     return url_filter(common.table(spark, sf_dir, "pages"))
