@@ -1,19 +1,27 @@
 """Quality rules with adaptive thresholds.
 
-Every document gets a few rates in whole numbers. Per language and source the
-rates go into quantile sketches: histograms over a fixed logarithmic grid of
-whole numbers, which merge by adding counts, so the result depends neither on
-the order of rows nor on how tasks split them. Fences come from the sketch's
-quartiles (Q3 + k * max(IQR, margin)); groups with few documents use the merged
-sketch of their language, and languages with few documents the merged sketch of
-everything. A join of the fences to the documents gives the verdict.
+Every document gets a few rates. Per language and source the rates go into
+quantile sketches: histograms over a fixed logarithmic grid of whole numbers,
+which merge by adding counts, so the result depends neither on the order of
+rows nor on how tasks split them. A sketch holds the rate with half an event
+added: a document of n words without an event still says that its rate lies
+about 1 / 2n, so sketches of mostly zeros have a spread too, set by the lengths
+of their documents. Fences lie SPREAD interquartile ranges beyond the quartiles
+on the grid, that is by ratios, not differences. No fixed margin takes part.
+
+To the sketch of a group that of its language is added as PRIOR documents at its
+evenly spaced quantiles, and to that of a language the one over everything:
+small groups lean on their parents, large ones on themselves, without a switch. A
+document fails a rate if even the rate less two standard deviations of its own
+count lies beyond the fence, so that short documents are not judged by chance.
+A join of the fences to the documents gives the verdict.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourcelens.llm import common
@@ -21,16 +29,17 @@ from sourcelens.llm import common
 #: The symbols that count.
 SYMBOLS = "[#*$%&|<>]"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Rate, its margin, and whether it has a lower fence too. Rates are per 1000 words or lines; word length is in 1/100 characters.
-RATES = [("symbol_rate", 40, False), ("dup_line_rate", 130, False), ("repeat_rate", 100, False), ("word_length", 80, True)]
-#: Fences lie this many times the larger of interquartile range and margin beyond the quartiles.
-SPREAD = 3
-#: Documents that a group's own sketch needs.
-MIN_GROUP = 200
+#: Rate and interquartile ranges (of the logarithm) from quartile to fence; only word length has a lower fence too.
+RATES = [("symbol_rate", 2), ("dup_line_rate", 2), ("repeat_rate", 2), ("word_length", 4)]
+TWO_SIDED = ("word_length",)
+#: Documents that a parent's sketch counts for in that of its child.
+PRIOR = 20
+#: Rates are whole numbers: parts of a thousand million.
+UNIT = 1_000_000_000
 #: Groups whose fences may be broadcast.
 BROADCAST_GROUPS = 20_000
 #: The grid splits each power of two into this many steps (as a power of two).
-GRID_BITS = 6
+GRID_BITS = 8
 
 
 def _repeat_words(w: Column) -> Column:
@@ -76,20 +85,33 @@ def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
 
 
-def rates() -> dict[str, Column]:
-    """The whole-number rates; null where they are undefined."""
+def _counts() -> dict[str, tuple[Column, Column]]:
+    """Events and places of the rates that are shares."""
     c = F.col
-    part = lambda a, b, k: F.when(b > 0, F.floor(k * a / b)).cast("long")
-    return {
-        "symbol_rate": part(c("n_symbols"), c("n_words"), 1000), "dup_line_rate": part(c("n_dup_lines"), c("n_lines"), 1000),
-        "repeat_rate": part(c("n_repeat_words"), c("n_words"), 1000), "word_length": part(c("word_chars"), c("n_words"), 100),
-    }
+    return {"symbol_rate": (c("n_symbols"), c("n_words")), "dup_line_rate": (c("n_dup_lines"), c("n_lines")), "repeat_rate": (c("n_repeat_words"), c("n_words"))}
+
+
+def _part(a: Column, b: Column) -> Column:
+    """floor(UNIT * a / b), 1 at least; null without places."""
+    return F.when(b > 0, F.greatest(F.call_function("div", F.lit(UNIT) * a, b), F.lit(1)))
+
+
+def rates() -> dict[str, Column]:
+    """What the sketches hold: rates with half an event added, and the mean word length."""
+    out = {r: _part(2 * a + 1, 2 * b) for r, (a, b) in _counts().items()}
+    return out | {"word_length": _part(F.col("word_chars"), F.col("n_words"))}
+
+
+def least_rates() -> dict[str, Column]:
+    """What is held against the fences: rates less two standard deviations of the count (its root), and the mean word length."""
+    out = {r: _part(F.greatest(a - F.floor(F.sqrt(4 * a)), F.lit(0)), b) for r, (a, b) in _counts().items()}
+    return out | {"word_length": rates()["word_length"]}
 
 
 def grid(v: Column) -> Column:
-    """The lower end of v's step in the sketch's grid (relative width 2^-GRID_BITS)."""
+    """v's step on the sketch's grid: 2^GRID_BITS steps for each power of two, whole numbers below."""
     shift = F.greatest(F.length(F.bin(v)) - 1 - GRID_BITS, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift).cast("long")
+    return (F.call_function("shiftleft", shift.cast("long"), F.lit(GRID_BITS)) + F.call_function("shiftright", v, shift)).cast("long")
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -99,45 +121,50 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
     return rows.groupBy("lang", "source", "rate", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _summed(sketch: DataFrame, *by: str) -> DataFrame:
+    """Sketches merged per value of by, with running and whole sums over the buckets."""
+    merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*by, "rate")
+    upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    return merged.withColumns({"upto": upto, "total": F.sum("n").over(group)})
+
+
+def _as_prior(summed: DataFrame, *by: str) -> DataFrame:
+    """A sketch of PRIOR documents that lie at the evenly spaced quantiles of a sketch: PRIOR rows a rate at most."""
+    below = lambda upto: F.call_function("div", 2 * PRIOR * upto + F.col("total"), 2 * F.col("total"))
+    return summed.select(*by, "rate", "bucket", (below(F.col("upto")) - below(F.col("upto") - F.col("n"))).alias("n")).where("n > 0")
+
+
 def fences(sketch: DataFrame) -> DataFrame:
-    """One row per language and source with the fences low_<rate> and high_<rate>."""
-    from pyspark.sql import Window
-
-    levels = sketch.withColumn("at", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
-        "at", "rate", "bucket", "n",
-        F.when(F.col("at") < 2, F.col("lang")).alias("lang"), F.when(F.col("at") < 1, F.col("source")).alias("source"),
-    )
-    merged = levels.groupBy("at", "lang", "source", "rate", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("at", "lang", "source", "rate")
-    summed = merged.withColumns({
-        "upto": F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(group),
-    })
+    """One row per language and source with the fences low_<rate> and high_<rate>, as steps of the grid."""
+    cols = ["lang", "source", "rate", "bucket", "n"]
+    top = _as_prior(_summed(sketch)).withColumn("one", F.lit(1))
+    langs = sketch.select("lang").distinct().withColumn("one", F.lit(1)).join(F.broadcast(top), "one")  # PRIOR rows a rate
+    by_lang = _as_prior(_summed(sketch.select("lang", "rate", "bucket", "n").unionByName(langs.drop("one")), "lang"), "lang").withColumnRenamed("lang", "l")
+    groups = sketch.select("lang", "source").distinct().join(by_lang, F.col("lang").eqNullSafe(F.col("l")))
+    summed = _summed(sketch.select(*cols).unionByName(groups.select(*cols)), "lang", "source")
     quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket")))
-    q = summed.groupBy("at", "lang", "source", "rate").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("total"))
-    margin = reduce(lambda a, r: a.when(F.col("rate") == r[0], F.lit(r[1])), RATES, F.when(F.lit(False), F.lit(0)))
-    spread = SPREAD * F.greatest(F.col("q3") - F.col("q1"), margin)
+    q = summed.groupBy("lang", "source", "rate").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
+    times = reduce(lambda a, r: a.when(F.col("rate") == r[0], F.lit(r[1])), RATES, F.when(F.lit(False), F.lit(0)))
+    spread = times * F.greatest(F.col("q3") - F.col("q1"), F.lit(1))  # one step of the grid where all values are one
     q = q.withColumns({"high": F.col("q3") + spread, "low": F.col("q1") - spread})
-    of = [F.max(F.when(F.col("rate") == r, F.col(x))).alias(f"{x}_{r}") for r, _, _ in RATES for x in ("low", "high")]
-    per = q.groupBy("at", "lang", "source").agg(*of, F.max("total").alias("total")).withColumn("f", F.struct(*[f"{x}_{r}" for r, _, _ in RATES for x in ("low", "high")]))
-    own = per.where("at = 0").select("lang", "source", F.col("total").alias("n0"), F.col("f").alias("f0"))
-    by_lang = per.where("at = 1").select(F.col("lang").alias("l1"), F.col("total").alias("n1"), F.col("f").alias("f1"))
-    over_all = per.where("at = 2").select(F.col("at").alias("top"), F.col("f").alias("f2"))
-    out = own.withColumn("top", F.lit(2)).join(by_lang, F.col("lang").eqNullSafe(F.col("l1"))).join(F.broadcast(over_all), "top")  # one row
-    f = F.when(F.col("n0") >= MIN_GROUP, F.col("f0")).when(F.col("n1") >= MIN_GROUP, F.col("f1")).otherwise(F.col("f2"))
-    return out.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), f.alias("fence"))
+    of = [F.max(F.when(F.col("rate") == r, F.col(x))).alias(f"{x}_{r}") for r, _ in RATES for x in ("low", "high")]
+    out = q.groupBy("lang", "source").agg(*of)
+    return out.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), F.struct(*[f"{x}_{r}" for r, _ in RATES for x in ("low", "high")]).alias("fence"))
 
 
 def judged(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """measured with the verdict column; the fence columns go again."""
     on = F.col(lang).eqNullSafe(F.col("fence_lang")) & F.col(source).eqNullSafe(F.col("fence_source"))
     fence = F.col("fence")
-    inside = [v <= fence[f"high_{r}"] for r, v in rates().items()]
-    inside += [rates()[r] >= fence[f"low_{r}"] for r, _, both in RATES if both]
+    inside = [grid(v) <= fence[f"high_{r}"] for r, v in least_rates().items()]
+    inside += [grid(least_rates()[r]) >= fence[f"low_{r}"] for r in TWO_SIDED]
     good = F.coalesce(reduce(lambda a, b: a & b, inside), F.lit(False))
     # groups without a document that passes the base rules have no fence, and need none
     return measured.join(limits, on, "left").withColumn("kept", ~F.col("base_failed") & good).drop("fence", "fence_lang", "fence_source")
 
 
+@common.tracked
 def quality(docs: DataFrame, lang: str = "lang", source: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base columns and verdict for every row of docs.
 
@@ -152,31 +179,50 @@ def quality(docs: DataFrame, lang: str = "lang", source: str = "source", id_col:
     return out.select(F.col("id").alias(id_col), *BASE, "base_failed", "kept")
 
 
+@common.tracked
 def keep_good(docs: DataFrame, lang: str = "lang", source: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of docs that quality() keeps, with the columns of docs and no other.
+    """The rows of docs that quality() keeps, with the columns of docs and no other; rows of any name, repeated and empty as there.
 
-    The rates are computed once for the sketches and once for the filter, so no
-    text is shuffled or stored.
+    Rows are written with their measures once, for the sketches and the filter;
+    no text is shuffled.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no name of docs meets one of ours
     own = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
-    measured = with_base(own).drop("text")
+    measured = common.written(with_base(own).drop("text").where(~F.col("base_failed")), "measured")
     limits = common.written(fences(sketches(measured)), "fences")
     if limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)  # some hundred bytes a group; beyond the bound the join shuffles
     return judged(measured, limits).where("kept").select("row.*")
 
 
+@common.tracked
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict of every document."""
     return quality(common.table(spark, sf_dir, "documents"))
 
 
-_RATES_SQL = {
-    "symbol_rate": "n_symbols * 1000 // nullif(n_words, 0)", "dup_line_rate": "n_dup_lines * 1000 // nullif(n_lines, 0)",
-    "repeat_rate": "n_repeat_words * 1000 // nullif(n_words, 0)", "word_length": "word_chars * 100 // nullif(n_words, 0)",
-}
-_GRID_SQL = "((v >> greatest(length(bin(v)) - 1 - {b}, 0)) << greatest(length(bin(v)) - 1 - {b}, 0))".format(b=GRID_BITS)
+_COUNTS_SQL = {"symbol_rate": ("n_symbols", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words")}
+_part_sql = lambda a, b: f"greatest({UNIT} * ({a}) // nullif({b}, 0), CASE WHEN {b} > 0 THEN 1 END)"
+_LENGTH_SQL = {"word_length": _part_sql("word_chars", "n_words")}
+_RATES_SQL = {r: _part_sql(f"2 * {a} + 1", f"(2 * {b})") for r, (a, b) in _COUNTS_SQL.items()} | _LENGTH_SQL
+_LEAST_SQL = {r: _part_sql(f"greatest({a} - floor(sqrt(4 * {a}))::BIGINT, 0)", b) for r, (a, b) in _COUNTS_SQL.items()} | _LENGTH_SQL
+_grid_sql = lambda v: "(greatest(length(bin({v})) - 1 - {b}, 0) * {n} + ({v} >> greatest(length(bin({v})) - 1 - {b}, 0)))".format(v=v, b=GRID_BITS, n=1 << GRID_BITS)
+_inside = " AND ".join(f"g.{r} <= high_{r}" + (f" AND g.{r} >= low_{r}" if r in TWO_SIDED else "") for r, _ in RATES)
+_edges = ", ".join(f"max(q3 + spread) FILTER (rate = '{r}') AS high_{r}, max(q1 - spread) FILTER (rate = '{r}') AS low_{r}" for r, _ in RATES)
+_spread = f"greatest(q3 - q1, 1) * CASE rate {' '.join(f"WHEN '{r}' THEN {k}" for r, k in RATES)} END"
+
+
+def _summed_sql(relation: str, by: str) -> str:
+    part = f"OVER (PARTITION BY {by}rate"
+    merged = f"SELECT {by}rate, bucket, sum(n)::BIGINT AS n FROM {relation} GROUP BY ALL"
+    return f"(SELECT *, (sum(n) {part} ORDER BY bucket ROWS UNBOUNDED PRECEDING))::BIGINT AS upto, (sum(n) {part}))::BIGINT AS total FROM ({merged}))"
+
+
+def _prior_sql(relation: str, by: str) -> str:
+    below = lambda upto: f"({2 * PRIOR} * {upto} + total) // (2 * total)"
+    return f"(SELECT {by}rate, bucket, {below('upto')} - {below('(upto - n)')} AS n FROM {_summed_sql(relation, by)} WHERE {below('upto')} > {below('(upto - n)')})"
+
+
 #: DuckDB SQL up to a relation judged(<columns of documents>, base columns, base_failed, kept) over the relation `docs_in`.
 JUDGED_SQL = f"""
 q_words AS (SELECT *, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
@@ -189,20 +235,18 @@ q_base AS (SELECT q_words.* EXCLUDE (w, ls), len(w)::BIGINT AS n_words, length(a
     len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(q_cov.n, 0)::BIGINT AS n_repeat_words
     FROM q_words LEFT JOIN q_cov USING (rid)),
 q_failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q_base),
+q_least AS (SELECT rid, """ + ", ".join(f"({v})::BIGINT AS {r}" for r, v in _LEAST_SQL.items()) + """ FROM q_failed),
+q_steps AS (SELECT rid, """ + ", ".join(f"{_grid_sql(r)} AS {r}" for r, _ in RATES) + """ FROM q_least),
 q_values AS (""" + " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, ({v})::BIGINT AS v FROM q_failed WHERE NOT base_failed" for r, v in _RATES_SQL.items()) + f"""),
-q_sketch AS (SELECT lang, source, rate, {_GRID_SQL} AS bucket, count(*) AS n FROM q_values GROUP BY ALL),
-q_levels AS (SELECT 0 AS lvl, lang, source, rate, bucket, n FROM q_sketch UNION ALL SELECT 1, lang, NULL, rate, bucket, n FROM q_sketch
-    UNION ALL SELECT 2, NULL, NULL, rate, bucket, n FROM q_sketch),
-q_merged AS (SELECT lvl, lang, source, rate, bucket, sum(n) AS n FROM q_levels GROUP BY ALL),
-q_summed AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, rate ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto,
-    sum(n) OVER (PARTITION BY lvl, lang, source, rate) AS total FROM q_merged),
-q_quart AS (SELECT lvl, lang, source, rate, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3,
-    max(total) AS total FROM q_summed GROUP BY ALL),
-q_fence AS (SELECT *, {SPREAD} * greatest(q3 - q1, CASE rate {" ".join(f"WHEN '{r}' THEN {m}" for r, m, _ in RATES)} END) AS spread FROM q_quart),
-q_per AS (SELECT lvl, lang, source, max(total) AS total, """ + ", ".join(f"max(q3 + spread) FILTER (rate = '{r}') AS high_{r}, max(q1 - spread) FILTER (rate = '{r}') AS low_{r}" for r, _, _ in RATES) + f""" FROM q_fence GROUP BY ALL),
-q_limits AS (SELECT a.lang, a.source, """ + ", ".join(f"CASE WHEN a.total >= {MIN_GROUP} THEN a.{x}_{r} WHEN b.total >= {MIN_GROUP} THEN b.{x}_{r} ELSE c.{x}_{r} END AS {x}_{r}" for r, _, _ in RATES for x in ("low", "high")) + """
-    FROM q_per a JOIN q_per b ON a.lvl = 0 AND b.lvl = 1 AND a.lang IS NOT DISTINCT FROM b.lang JOIN q_per c ON c.lvl = 2),
-judged AS (SELECT q_failed.*, NOT base_failed AND coalesce(""" + " AND ".join(f"{v} <= high_{r}" + (f" AND {v} >= low_{r}" if both else "") for (r, _, both), v in zip(RATES, _RATES_SQL.values())) + """, false) AS kept
-    FROM q_failed LEFT JOIN q_limits l ON q_failed.lang IS NOT DISTINCT FROM l.lang AND q_failed.source IS NOT DISTINCT FROM l.source)"""
+q_sketch AS (SELECT lang, source, rate, {_grid_sql("v")} AS bucket, count(*) AS n FROM q_values GROUP BY ALL),
+q_top AS {_prior_sql("q_sketch", "")},
+q_lang AS (SELECT lang, rate, bucket, n FROM q_sketch UNION ALL SELECT l.lang, t.* FROM (SELECT DISTINCT lang FROM q_sketch) l, q_top t),
+q_own AS (SELECT * FROM q_sketch UNION ALL SELECT g.lang, g.source, p.rate, p.bucket, p.n FROM (SELECT DISTINCT lang, source FROM q_sketch) g
+    JOIN {_prior_sql("q_lang", "lang, ")} p ON g.lang IS NOT DISTINCT FROM p.lang),
+q_quart AS (SELECT lang, source, rate, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3
+    FROM {_summed_sql("q_own", "lang, source, ")} GROUP BY ALL),
+q_limits AS (SELECT lang, source, {_edges} FROM (SELECT *, {_spread} AS spread FROM q_quart) GROUP BY ALL),
+judged AS (SELECT q_failed.*, NOT base_failed AND coalesce({_inside}, false) AS kept
+    FROM q_failed JOIN q_steps g USING (rid) LEFT JOIN q_limits l ON q_failed.lang IS NOT DISTINCT FROM l.lang AND q_failed.source IS NOT DISTINCT FROM l.source)"""
 
 ORACLE = f"WITH docs_in AS (SELECT * FROM documents), {JUDGED_SQL.strip()} SELECT doc_id, {', '.join(BASE)}, base_failed, kept FROM judged"
