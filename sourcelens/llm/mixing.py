@@ -25,6 +25,8 @@ RANGE_ROWS = 4096
 #: Sources whose targets may be broadcast.
 BROADCAST_SOURCES = 20_000
 SEED = "mix-1"
+#: The order of a source's documents; tie, a hash of the text, only matters where whole texts are taken.
+ORDER = ["key", "id", "size", "tie"]
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -71,7 +73,8 @@ def with_taken(sized: DataFrame, per_source: DataFrame) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.ceil(F.col("n_docs") / RANGE_ROWS).cast("long")
     dealt = lambda df: keyed(df).join(t, ["k", "z"]).withColumn("range", F.call_function("shiftright", place, F.lit(32)))
-    inside = Window.partitionBy("k", "z", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = [c for c in ORDER if c in sized.columns]
+    inside = Window.partitionBy("k", "z", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = dealt(sized).withColumns({"epochs": epochs, "before": F.coalesce(F.sum("size").over(inside), F.lit(0))})
     sums = dealt(sized.select("source", "size", "key")).groupBy("k", "z", "range").agg(F.sum("size").alias("range_size"))
     upto = Window.partitionBy("k", "z").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,6 +88,7 @@ def _totals(sized: DataFrame) -> DataFrame:
     return sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
 
 
+@common.tracked
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -103,23 +107,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
+@common.tracked
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The mix itself: docs with rows repeated or left out, whole texts, the columns of docs.
 
     As texts stay whole, the document at a source's cut goes in if at least half
-    of it lies before the cut. Documents without a word are in no mix.
-    """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    sized = docs.select(
-        row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), common.word_count(F.col(text_col)).alias("size"), key(F.col(id_col), seed).alias("key"),
-    )
-    per_source = common.written(targets(_totals(sized.drop("row"))), "targets")
-    out = with_taken(sized, per_source)
-    copies = F.when(F.col("size") > 0, F.col("epochs") + F.when(2 * F.col("left") >= F.col("size"), 1).otherwise(0)).otherwise(0).cast("int")
-    out = out.withColumn("copies", copies).where("copies > 0")
-    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
-
+    of it lies before the cut. Documents without a word are in no mix. Rows that
+    tie in id and number of words are in the order of a hash of their text; equal
+    rows go in together or stay out together. Null
+    sources are one source, the last. An empty table gives an empty result.
 
+    A source's documents go in up to a place in its order, so only ids, sizes and
+    hashes are shuffled to find that place; texts meet one row per source.
+    """
+    c = lambda name: F.col(f"`{name}`")
+    row = F.struct(*[c(x) for x in docs.columns])
+    size = common.word_count(c(text_col))
+    named = {"id": c(id_col), "source": c(source_col).cast("string"), "key": key(c(id_col), seed), "tie": F.xxhash64(c(text_col))}
+    sized = common.written(docs.select(*[x.alias(n) for n, x in named.items()], size.alias("size")), "mix")
+    out = with_taken(sized, common.written(targets(_totals(sized)), "targets"))
+    last = F.max(F.when((F.col("size") > 0) & (2 * F.col("left") >= F.col("size")), F.struct(*ORDER)))
+    cuts = common.written(out.groupBy("source").agg(F.first("epochs").alias("epochs"), last.alias("last")).withColumnRenamed("source", "of"), "cuts")
+    if cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    rows = docs.select(row.alias("row"), *[x.alias(n) for n, x in named.items()], c(text_col).alias("text")).join(cuts, F.col("source").eqNullSafe(F.col("of")))
+    own = F.struct("id", common.word_count(F.col("text")).alias("size"), "tie")  # counted again for documents at the cut only
+    upto = (F.col("key") < F.col("last.key")) | ((F.col("key") == F.col("last.key")) & (own <= F.struct("last.id", "last.size", "last.tie")))
+    worded = F.btrim(common.text_or_empty(F.col("text")), F.lit(common.SPACE)) != ""
+    copies = (F.col("epochs") + F.when(upto, 1).otherwise(0)).cast("int")
+    kept = rows.where(worded).withColumn("copies", copies).where("copies > 0")
+    return kept.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+
+
+@common.tracked
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix over all documents."""
     return mix(common.table(spark, sf_dir, "documents"))
