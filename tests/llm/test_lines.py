@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tests.oracle import SF_DIR
 
 from sourcelens.llm import lines
@@ -10,28 +11,23 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def brute(rows):
-    """(id, text) rows after line dedup, by all pairs of each document with the first holder of each of its windows."""
+    """(id, text) rows after line dedup, by every run of every document: a line goes if an earlier one has a run with it that may be deleted."""
     docs = sorted({(i is not None, i or 0, t) for i, t in rows if t is not None})
-    cut = {d: [x.strip(SPACE) for x in d[2].split("\n")] for d in docs}
-
-    def keys(d):
-        w = [x for x in cut[d] if x]
-        n = lines.MIN_LINES
-        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} | {x for x in w if len(x) >= lines.MIN_CHARS}
-
-    first, out = {}, {}
-    for d in docs:
-        for k in keys(d):
-            first.setdefault(k, d)
-    code = {}
-    number = lambda d: [code.setdefault(x, len(code) + 1) if x else 0 for x in cut[d]]
+    out, before = {}, set()
     for d in docs:
-        gone = set()
-        for f in {first[k] for k in keys(d)} - {d}:
-            for a, b in lines.common_spans(number(d), [len(x) for x in cut[d]], number(f)):
-                gone |= set(range(a, b))
-        out[d] = "\n".join(x for i, x in enumerate(d[2].split("\n")) if i not in gone)
-    return [(i, None if t is None else out[i is not None, i or 0, t]) for i, t in rows], first
+        cut = [x.strip(SPACE) for x in d[2].split("\n")]
+        at = [k for k, x in enumerate(cut) if x]
+        w = [cut[k] for k in at]
+        every = {(a, b) for a in range(len(w)) for b in range(a + 1, len(w) + 1) if (b - a == 3 or b - a < 3 and sum(map(len, w[a:b])) >= 200)}
+        gone = {k for a, b in every if tuple(w[a:b]) in before for k in range(a, b)}
+        before |= {tuple(w[a:b]) for a, b in every}
+        left = []
+        for i, x in enumerate(d[2].split("\n")):
+            near = [max((k for k, j in enumerate(at) if j <= i), default=None), min((k for k, j in enumerate(at) if j >= i), default=None)]
+            if not w or not all(k is None or k in gone for k in near):
+                left.append(x)
+        out[d] = "\n".join(left)
+    return [(i, None if t is None else out[i is not None, i or 0, t]) for i, t in rows]
 
 
 def test_patience_properties():
@@ -57,7 +53,7 @@ def order(rows):
 LONG = "word " * 60
 ROWS = [
     (1, "a\nb\nc\nd"), (2, "x\nb\nc\nd\ny"), (3, "b\nc"), (None, "p\nq\n r \ns"), (None, None), (4, "p\n\nq\nr\ns\nz"), (4, "p\n\nq\nr\ns\nz"), (5, ""), (5, ""),
-    (6, LONG + "\nu"), (7, "v\n" + LONG), (8, "a\nb\nc\nd"), (9, "\n\n\n\n"), (10, "\n\n\n\n"), (11, "k\n" * 5000), (12, "k\n" * 5000),
+    (6, LONG + "\nu"), (7, "v\n" + LONG), (8, "a\nb\nc\nd"), (9, "\n\n\n\n"), (10, "\n\n\n\n"), (11, "k\n" * 500), (12, "k\n" * 500),
 ]
 
 
@@ -65,10 +61,14 @@ def test_small_rows(spark):
     docs = spark.createDataFrame([(*r, "x", 3) for r in ROWS], "doc_id long, text string, key string, h int")
     got = lines.line_dedup(docs)
     assert got.columns == [*docs.columns, "lines__n", "lines__deleted", "lines__sources"]
-    assert order([(r.doc_id, r.text) for r in got.collect()]) == order(brute(ROWS)[0])
+    assert order([(r.doc_id, r.text) for r in got.collect()]) == order(brute(ROWS))
     by_id = {r.doc_id: r for r in got.collect()}
     assert by_id[2].text == "x\ny" and by_id[8].text == "" and by_id[8].lines__sources == [1] and by_id[7].text == "v"
     assert lines.line_dedup(docs.limit(0)).count() == 0
+    named = docs.select("doc_id", "text", F.lit(1).alias("lines__n"), F.lit(2).alias("row"), F.lit(3).alias("a.b"))
+    again = lines.line_dedup(named)
+    assert again.columns == ["doc_id", "text", "row", "a.b", "lines__n", "lines__deleted", "lines__sources"]
+    assert order([(r.doc_id, r.text) for r in again.collect()]) == order(brute(ROWS))
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -89,14 +89,13 @@ def test_random_brute_force(spark, seed):
             seen.add(i)
             distinct.append((i, t))
     docs = spark.createDataFrame(distinct, "doc_id long, text string")
-    assert order([(r.doc_id, r.text) for r in lines.line_dedup(docs).collect()]) == order(brute(distinct)[0])
+    assert order([(r.doc_id, r.text) for r in lines.line_dedup(docs).collect()]) == order(brute(distinct))
 
 
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     got = {r.doc_id: r for r in lines.op6_lines(spark, SF_DIR).collect()}
-    want, first = brute(docs)
-    for i, t in want:
+    for i, t in brute(docs):
         assert got[i].left_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert sum(r.n_deleted for r in got.values()) > 0
 
@@ -151,3 +150,24 @@ def test_all_pairs(spark, seed):
                 words = [x for x in cut[i] if x][a : a + n]
                 if n >= lines.MIN_LINES or sum(map(len, words)) >= lines.MIN_CHARS:
                     assert len(gone) <= len(w) - n
+
+
+def test_common_and_rare_lines(spark, monkeypatch):
+    """Runs of rare lines meet all earlier holders, runs of common ones the first; both lose the same lines at any bound."""
+    rng = random.Random(4)
+    pool = [f"{i} line" for i in range(30)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    rows += [(100 + i, f"head {i}\n" + "\n".join(pool[:4])) for i in range(15)]
+    want = order(brute(rows))
+    for rare in (0, 3, 1000):
+        monkeypatch.setattr(lines, "RARE", rare)
+        got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert order([(r.doc_id, r.text) for r in got]) == want
+
+
+def test_equal_hashes_are_not_enough(spark):
+    """Lines are equal if 128 bits of hash are; those that find a document by 64 bits only are not deleted."""
+    pos, h = [0, 1, 2], [1, 2, 3]
+    assert lines.common_lines(pos, list(zip(h, h)), [9, 9, 9], pos, list(zip(h, h))) == [0, 1, 2]
+    assert lines.common_lines(pos, list(zip(h, h)), [9, 9, 9], pos, list(zip(h, [1, 2, 4]))) == []
+    assert lines.common_lines([0, 1, 3], list(zip(h, h)), [9, 9, 9], pos, list(zip(h, h))) == []

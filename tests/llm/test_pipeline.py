@@ -24,7 +24,7 @@ def brute(rows):
 
     names = ", ".join(COLUMNS)
     _, rows = run_sql(f"WITH docs_in AS (SELECT * FROM documents), {quality.JUDGED_SQL.strip()} SELECT {names} FROM judged WHERE kept", tables={"documents": arrow(rows)})
-    cut = test_lines.brute([(r[0], r[1]) for r in rows])[0]
+    cut = test_lines.brute([(r[0], r[1]) for r in rows])
     rows = [(i, t, r[2], r[3], r[4] if t == r[1] else len(t)) for (i, t), r in zip(cut, rows) if t == r[1] or t.strip(test_lines.SPACE)]
     heads = {i: c for i, c, _, _ in test_jaccard.brute([(r[0], r[1]) for r in rows])}
     rows = [r for r in rows if heads[r[0]] == r[0]]
