@@ -7,8 +7,6 @@ the next. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,49 +14,42 @@ from sourcelens.llm import bpe, common, jaccard, lines, mixing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go. Null texts and texts of fewer than 50 words are among them; equal rows are judged alike; no rows give no rows."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the blocks of lines that an earlier document has; documents that lose all their words go. n_chars follows the text."""
-    out = lines.line_dedup(docs)
-    worded = F.btrim(common.text_or_empty(F.col("text")), F.lit(common.SPACE)) != ""
-    out = out.where((F.col("lines__deleted") == 0) | worded)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("lines__deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Texts lose the blocks of lines that an earlier document has; documents that lose all their words go. n_chars follows the text.
+
+    Null and empty texts pass unchanged. Equal rows are one document and stay
+    alike. Columns of any name pass, lines__* too.
+    """
+    out = lines.deduped(docs)
+    worded = F.btrim(common.text_or_empty(F.col("row.text")), F.lit(common.SPACE)) != ""
+    cols = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(F.col("n_deleted") > 0, F.length("row.text").cast(docs.schema["n_chars"].dataType)).otherwise(cols["n_chars"])
+    return out.where((F.col("n_deleted") == 0) | worded).select(*[x.alias(c) for c, x in cols.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: that with the least id; of equal rows one. Texts without a word all stay."""
     return jaccard.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat or go until each source has its share."""
+    """Documents repeat or go until each source has its share. Documents without a word go; a null source is a source."""
     return mixing.mixed_rows(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row of the mix."""
+    """Token counts and digests of every row of the mix; a null text has no token. Row by row, so repeats and extra columns do not matter."""
     return bpe.encode_decode(docs, bpe.tokenizer_path())
 
 
-def _stage(f):
-    """f, after the tables that earlier stages wrote for themselves are gone: their results have been written by then."""
-
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark)
-        common.drop_shuffles(spark)
-        return f(spark, docs, sf_dir)
-
-    return run_stage
-
-
 STAGES = [
-    ("quality_rules", _stage(quality_rules)), ("line_dedup", _stage(line_dedup)), ("near_duplicates", _stage(near_duplicates)),
-    ("mix_sources", _stage(mix_sources)), ("tokenize", _stage(tokenize)),
+    ("quality_rules", common.tracked(quality_rules)), ("line_dedup", common.tracked(line_dedup)), ("near_duplicates", common.tracked(near_duplicates)),
+    ("mix_sources", common.tracked(mix_sources)), ("tokenize", common.tracked(tokenize)),
 ]
 
 #: Alignment, verified similarity and byte-pair merges have no SQL; the tests hold run() against a brute-force version.
@@ -66,14 +57,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over the documents of sf_dir; a stage's table goes once the next one is written."""
-    docs, before = common.table(spark, sf_dir, "documents"), None
-    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The result of the last stage over the documents of sf_dir.
+
+    A stage's output goes once the next one is written, and with it the tables
+    that the stage wrote for itself. common.release(result) deletes what the
+    result is read from.
+    """
+    docs, before, kept = common.table(spark, sf_dir, "documents"), None, common.Tables()
     for name, f in STAGES[:-1]:
-        out, path = f(spark, docs, sf_dir), f"{folder}/{name}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
-        if before:
-            common.delete(spark, before)
-        before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with common.Tables() as own:
+            out = common.written(f(spark, docs, sf_dir), f"pipeline-{name}", kept)
+        own.release()
+        if before is not None:
+            common.discard(before)
+        docs = before = out
+    with kept:
+        out = STAGES[-1][1](spark, docs, sf_dir)
+    out._tables = kept
+    return out
