@@ -2,25 +2,31 @@
 
 Texts are sets of hashed 5-word shingles; equal word sequences are one text. A
 signature has TREES labels of MAX_DEPTH min-hashes, each a path in a prefix
-trie. Two texts are candidates if their paths share a prefix in some tree; the
-prefix is shortened from MAX_DEPTH until a pair at the threshold is found with
-the target recall. Candidates are then compared exactly.
+trie. Two texts are candidates if they lie in the same node of some tree. The
+tries are descended level by level, from the shortest prefix on: a node with
+NODE texts at most is used as it is, a larger one is divided by the next
+min-hash, down to the longest prefix by which a pair at the threshold is still
+found with the target recall. So texts in sparse places match by short prefixes,
+above the target, those in dense ones by longer ones, never below it. Candidates
+are then compared exactly.
 
 Texts linked by candidate pairs form groups. A group is compared in one task
-if it is small, otherwise in cells of two blocks of bounded size, either over
-the group or over each of its prefix buckets, whichever needs fewer rows; in the
-latter case a pair counts in the first tree where it meets. So all links are
-counted and none is listed, and no task holds more than two blocks.
+if it is small, otherwise in cells of two blocks of bounded size (in texts and
+in words), either over the group or over each of its nodes, whichever needs
+fewer rows; in the latter case a pair counts in the first tree where it meets.
+So all links are counted and none is listed, and no task holds more than two
+blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourcelens.llm import common
@@ -30,10 +36,15 @@ WORDS = 5
 THRESHOLD = 0.8
 TREES = 20
 MAX_DEPTH = 6
-#: Share of the pairs at exactly the threshold that share a prefix.
+#: Least share of the pairs at exactly the threshold that share a node.
 RECALL = 0.999
-#: Texts in a block of a comparison.
+#: Levels by which a matched prefix is shortened at most.
+LEVELS = 1
+#: Texts in a node that is not divided further.
+NODE = 512
+#: Texts, and words, in a block of a comparison (a longer text is a block of its own).
 BLOCK = 512
+BLOCK_WORDS = 1 << 21
 #: Weight of a row in a bucket against a row in a whole group, when the way to compare a large group is chosen.
 BUCKET_WEIGHT = 1.0
 #: Words hashed together, and columns of a matrix multiplied together.
@@ -43,12 +54,12 @@ CHUNK_COLUMNS = 1 << 14
 _LABEL = 2 * MAX_DEPTH  # bytes of a path: 16 bits of each min-hash
 
 
-def depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix that reaches the recall at the threshold."""
+def depths(threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
+    """The shortest and the longest prefix that matches: the longest reaches the recall at the threshold."""
     d = MAX_DEPTH
     while d > 1 and 1 - (1 - threshold**d) ** TREES < recall:
         d -= 1
-    return d
+    return max(1, d - LEVELS), d
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -114,7 +125,7 @@ def _hashed(text) -> F.Column:
 
 
 def signatures(keyed: DataFrame) -> DataFrame:
-    """keyed (key, text), texts with a word, to key, did (digest of the word sequence), labels."""
+    """keyed (key, text), texts with a word, to key, did (digest of the word sequence), labels, n_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,32 +133,54 @@ def signatures(keyed: DataFrame) -> DataFrame:
                 labels = paths(*shingles(words, ends))
                 cuts = [0, *ends]
                 did = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts, cuts[1:])]
-                cols = [batch.column(0).slice(at, len(ends)), pa.array(did, pa.binary()), pa.array([x.tobytes() for x in labels], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "did", "labels"])
-
-    return keyed.select("key", _hashed(F.col("text")).alias("words")).mapInArrow(run, f"key {_KEY}, did binary, labels binary")
-
-
-def _buckets(texts: DataFrame, d: int) -> DataFrame:
-    """did, tree, bucket: the prefix of length d in every tree."""
-    prefix = lambda t: F.substring(F.col("labels"), t * _LABEL + 1, F.lit(2 * d))
-    rows = texts.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    return rows.withColumn("bucket", F.xxhash64("tree", prefix(F.col("tree"))))
+                cols = [batch.column(0).slice(at, len(ends)), pa.array(did, pa.binary()), pa.array([x.tobytes() for x in labels], pa.binary()), pa.array(ends)]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "did", "labels", "n_words"])
+
+    return keyed.select("key", _hashed(F.col("text")).alias("words")).mapInArrow(run, f"key {_KEY}, did binary, labels binary, n_words long")
+
+
+def nodes(texts: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes of several texts: did, tree, depth, bucket, v (their least did), m (how many); and did, tree, depth of texts below the first level."""
+    path = F.substring(F.col("labels"), F.col("tree") * _LABEL + 1, F.lit(_LABEL))
+    rows = texts.select("did", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("did", "tree", path.alias("path"))
+    found, below = [], []
+    for d in range(low, high + 1):
+        named = rows.withColumn("bucket", F.xxhash64("tree", F.lit(d), F.substring("path", 1, 2 * d)))
+        stars = common.written(named.groupBy("bucket").agg(F.min("did").alias("v"), F.count(F.lit(1)).alias("m")).where("m > 1"), "stars")
+        last = d == high or stars.where(F.col("m") > NODE).isEmpty()
+        met = common.written(named.join(stars, "bucket").withColumn("depth", F.lit(d)), "met")
+        found.append(met if last else met.where(F.col("m") <= NODE))
+        if d > low:
+            below.append(rows.select("did", "tree", F.lit(d).alias("depth")))
+        if last:
+            break
+        rows = met.where(F.col("m") > NODE).select("did", "tree", "path")
+    deepest = reduce(DataFrame.unionByName, below, texts.limit(0).select("did", F.lit(0).alias("tree"), F.lit(0).alias("depth")))
+    deepest = deepest.groupBy("did", "tree").agg(F.max("depth").alias("depth"))
+    return reduce(DataFrame.unionByName, found).drop("path"), deepest
+
+
+def codes(labels: np.ndarray, deep: list[list[dict] | None], low: int) -> np.ndarray:
+    """A number for the node of each text in each tree: (texts, TREES); deep has the trees in which a text lies below the level low."""
+    n = len(deep)
+    prefix = labels.reshape(n, TREES, MAX_DEPTH).astype(np.uint64)
+    depth = np.full((n, TREES), low)
+    for i, rows in enumerate(deep):
+        for x in rows or ():
+            depth[i, x["tree"]] = x["depth"]
+    out = depth.astype(np.uint64)
+    for k in range(MAX_DEPTH):
+        with np.errstate(over="ignore"):
+            out = np.where(k < depth, _mixed(out * np.uint64(65537) + prefix[:, :, k] + np.uint64(1)), out)
+    return out
 
 
-def compare(labels: np.ndarray, sets: list[np.ndarray], side: np.ndarray, tree: int, d: int, threshold: float) -> np.ndarray:
-    """Matrix of linked pairs i < j between the sides (or inside the only side) of a cell.
+def compare(code: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, tree: int, threshold: float) -> np.ndarray:
+    """Matrix of linked pairs i < j between the sides of a cell, or inside the only one (side is None).
 
-    tree < 0: pairs that share a prefix of length d in any tree; otherwise those that share one there and in no earlier tree.
+    code: numbers of nodes. tree < 0: pairs that share a node in any tree; otherwise those that share one there and in no earlier tree.
     """
     n = len(sets)
-    prefix = labels.reshape(n, TREES, MAX_DEPTH)[:, :, :d].astype(np.uint64)
-    code = np.zeros((n, TREES), np.uint64)
-    for k in range(d):  # exact up to four levels in a word, so two words at most
-        if k == 4:
-            code = _mixed(code)
-        with np.errstate(over="ignore"):
-            code = code * np.uint64(65536) + prefix[:, :, k]
     meet = np.zeros((n, n), bool)
     for t in range(TREES):
         same = code[:, t][:, None] == code[:, t][None, :]
@@ -156,7 +189,7 @@ def compare(labels: np.ndarray, sets: list[np.ndarray], side: np.ndarray, tree:
             break
         meet |= same
     meet &= np.triu(np.ones((n, n), bool), 1)
-    if len(np.unique(side)) > 1:
+    if side is not None:
         meet &= side[:, None] != side[None, :]
     sizes = np.array([len(s) for s in sets], np.int64)
     # sizes alone rule a pair out if the smaller set is under threshold times the larger
@@ -200,15 +233,18 @@ def _roots(n: int, linked: np.ndarray) -> np.ndarray:
         root = low
 
 
+def _n_blocks(texts: str, words: str) -> Column:
+    return F.greatest(F.ceil(F.col(texts) / BLOCK), F.ceil(F.col(words) / BLOCK_WORDS))
+
+
 def _cells(entries: DataFrame) -> DataFrame:
-    """entries (gid, tree, m, ...) dealt to cells of two blocks; every pair of a group meets in exactly one cell."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = entries.withColumn("n_blocks", blocks).withColumn("side", F.pmod(F.xxhash64("did"), F.col("n_blocks")).cast("int"))
+    """entries (gid, tree, m, words_in, ...) dealt to cells of two blocks; every pair of a group meets in exactly one cell."""
+    rows = entries.withColumn("n_blocks", _n_blocks("m", "words_in").cast("int")).withColumn("side", F.pmod(F.xxhash64("did"), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     return rows.withColumn("other", other).withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
 
 
-def verified(cells: DataFrame, d: int, threshold: float) -> DataFrame:
+def verified(cells: DataFrame, low: int, threshold: float) -> DataFrame:
     """cells with words to did, links (rows of the linked texts), root, gid, n_blocks."""
 
     def one(t: pa.Table) -> pa.Table:
@@ -218,7 +254,8 @@ def verified(cells: DataFrame, d: int, threshold: float) -> DataFrame:
             hashes, first = shingles(flat, ends)
             sets += [np.unique(x) for x in np.split(hashes, first[1:])]
         labels = np.frombuffer(b"".join(t["labels"].to_pylist()), ">u2")
-        linked = compare(labels, sets, t["side"].to_numpy(), t["tree"][0].as_py(), d, threshold)
+        side = t["side"].to_numpy() if t["low"][0] != t["high"][0] else None
+        linked = compare(codes(labels, t["deep"].to_pylist(), low), sets, side, t["tree"][0].as_py(), threshold)
         copies = t["copies"].to_numpy()
         links = linked @ copies + linked.T @ copies
         did = t["did"].to_pylist()
@@ -227,43 +264,47 @@ def verified(cells: DataFrame, d: int, threshold: float) -> DataFrame:
         root = [did[order[r]] for r in _roots(len(did), linked[np.ix_(order, order)])]
         return pa.table({"did": t["did"], "links": pa.array(links, pa.int64()), "root": pa.array([root[b] for b in back], pa.binary()), "gid": t["gid"], "n_blocks": t["n_blocks"]})
 
-    cols = cells.select("gid", "tree", "low", "high", "side", "n_blocks", "did", "copies", "labels", "words")
+    cols = cells.select("gid", "tree", "low", "high", "side", "n_blocks", "did", "copies", "labels", "deep", "words")
     return cols.groupBy("gid", "low", "high").applyInArrow(one, "did binary, links long, root binary, gid string, n_blocks int")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per row of docs with a word in its text: key, root (of its class), links (other rows linked to it)."""
-    d = depth(threshold, recall)
+    low, high = depths(threshold, recall)
     keyed = docs.select(_doc_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     worded = keyed.where(F.btrim(common.text_or_empty(F.col("text")), F.lit(common.SPACE)) != "")
     rows = common.written(signatures(worded), "signatures")
-    texts = rows.groupBy("did").agg(F.min(F.struct("key", "labels")).alias("x"), F.count(F.lit(1)).alias("copies"))
-    texts = common.written(texts.select("did", "x.key", "x.labels", "copies"), "texts")
+    texts = rows.groupBy("did").agg(F.min(F.struct("key", "labels", "n_words")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    texts = common.written(texts.select("did", "x.key", "x.labels", "x.n_words", "copies"), "texts")
 
-    buckets = _buckets(texts.select("did", "labels"), d).select("did", "tree", "bucket")
-    stars = common.written(buckets.groupBy("bucket").agg(F.min("did").alias("v"), F.count(F.lit(1)).alias("m")).where("m > 1"), "stars")
-    met = common.written(buckets.join(stars, "bucket"), "met")
+    met, deepest = nodes(texts.select("did", "labels"), low, high)
     grouped = components(met.select(F.col("did").alias("u"), "v"))
     grouped = common.written(grouped.select(F.col("node").alias("did"), F.col("root").alias("comp")), "grouped")
 
-    # the cheaper way to compare a group: all of it, or bucket by bucket
-    rows_for = lambda m: F.col(m) * F.ceil(F.col(m) / BLOCK)
-    size = grouped.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-    large = size.where(F.col("m") > BLOCK)
-    by_bucket = stars.join(grouped, F.col("v") == F.col("did")).groupBy("comp").agg(F.sum(rows_for("m")).alias("rows"))
-    split = common.written(large.join(by_bucket, "comp").where(BUCKET_WEIGHT * F.col("rows") < rows_for("m")).select(F.col("comp").alias("split")), "split")
-    size = common.written(size, "sizes")
+    # the cheaper way to compare a group: all of it, or node by node
+    counted = grouped.join(texts.select("did", "n_words"), "did")
+    size = common.written(counted.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("words_in")), "sizes")
+    large = size.where(_n_blocks("m", "words_in") > 1)
+    filled = met.join(texts.select("did", "n_words"), "did").groupBy("tree", "bucket").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("words_in"))
+    in_large = grouped.join(large.select("comp"), "comp", "left_semi")
+    filled = common.written(filled.join(in_large, F.col("v") == F.col("did")).select("tree", "bucket", "m", "words_in", "comp"), "filled")
+    rows_for = F.col("m") * _n_blocks("m", "words_in")
+    by_node = filled.groupBy("comp").agg(F.sum(rows_for).alias("rows"))
+    split = common.written(large.join(by_node, "comp").where(BUCKET_WEIGHT * F.col("rows") < rows_for).select(F.col("comp").alias("split")), "split")
     sized = grouped.join(size, "comp").join(split, F.col("comp") == F.col("split"), "left")
     sized = common.written(sized, "sized")
-    whole = sized.where("split is null").select("did", F.hex("comp").alias("gid"), F.lit(-1).alias("tree"), "m")
-    parts = met.join(sized.where("split is not null").select("did"), "did").select("did", F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("gid"), "tree", "m")
-    entries = texts.join(whole.unionByName(parts), "did")
+    whole = sized.where("split is null").select("did", F.hex("comp").alias("gid"), F.lit(-1).alias("tree"), "m", "words_in")
+    divided = filled.join(split, F.col("comp") == F.col("split"), "left_semi").select("tree", "bucket", F.col("m").alias("in_node"), "words_in")
+    parts = met.select("did", "tree", "bucket").join(divided, ["tree", "bucket"])
+    parts = parts.select("did", F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("gid"), "tree", F.col("in_node").alias("m"), "words_in")
+    deep = deepest.groupBy("did").agg(F.collect_list(F.struct("tree", "depth")).alias("deep"))
+    entries = texts.drop("n_words").join(whole.unionByName(parts), "did").join(deep, "did", "left")
 
     text = worded.select(F.col("key").alias("k"), F.col("text"))
     needed = texts.join(grouped.select("did"), "did").select("key", "did")
     fetched = text.join(needed, F.col("k") == F.col("key")).select("did", _hashed(F.col("text")).alias("words")).dropDuplicates(["did"])
     cells = _cells(entries.drop("key")).join(fetched, "did")
-    found = common.written(verified(cells, d, threshold), "found")
+    found = common.written(verified(cells, low, threshold), "found")
 
     links = found.groupBy("did").agg(F.sum("links").alias("links"))
     alone = found.where("n_blocks = 1 and not startswith(gid, 'b')").select("did", "root")

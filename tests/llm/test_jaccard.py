@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.oracle import SF_DIR
 
 from sourcelens.llm import graph, jaccard
@@ -61,8 +62,9 @@ def near_copies(rng, n, size=60):
     return out
 
 
-@pytest.mark.parametrize("block,by_bucket", [(512, False), (7, False), (7, True)])
-def test_large_groups(spark, monkeypatch, block, by_bucket):
+@pytest.mark.parametrize("block,by_bucket,node", [(512, False, 512), (7, False, 512), (7, True, 512), (7, True, 5)])
+def test_large_groups(spark, monkeypatch, block, by_bucket, node):
+    monkeypatch.setattr(jaccard, "NODE", node)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(4)
     texts = near_copies(rng, 60) + near_copies(rng, 15, 400) + [f"only {i} here are few words {i}" for i in range(20)]
@@ -81,14 +83,54 @@ def test_cell_modes_agree():
     flat, ends = np.concatenate(words), np.cumsum([len(w) for w in words])
     hashes, first = jaccard.shingles(flat, ends)
     labels, sets = jaccard.paths(hashes, first), [np.unique(x) for x in np.split(hashes, first[1:])]
-    d, side = jaccard.depth(), np.zeros(len(texts), int)
-    whole = jaccard.compare(labels, sets, side, -1, d, 0.8)
-    parts = [jaccard.compare(labels, sets, side, t, d, 0.8) for t in range(jaccard.TREES)]
+    deep = [None if i % 3 else [{"tree": i % 20, "depth": 5}] for i in range(len(texts))]
+    code = jaccard.codes(labels, deep, 4)
+    whole = jaccard.compare(code, sets, None, -1, 0.8)
+    parts = [jaccard.compare(code, sets, None, t, 0.8) for t in range(jaccard.TREES)]
     assert (sum(p.astype(int) for p in parts) == whole).all()
 
 
-def test_depth():
-    assert jaccard.depth(0.8, 0.999) == 5 and jaccard.depth(0.8, 0.9999999) < 5 and jaccard.depth(0.99, 0.999) == jaccard.MAX_DEPTH
+def test_depths():
+    """The longest prefix that reaches the recall, and the shortest: they follow the threshold and the recall."""
+    assert jaccard.depths(0.8, 0.999) == (4, 5) and jaccard.depths(0.7, 0.999) == (2, 3)
+    assert jaccard.depths(0.8, 0.9999999)[1] < 5 and jaccard.depths(0.99, 0.999)[1] == jaccard.MAX_DEPTH
+
+
+def test_depth_follows_density(spark, monkeypatch):
+    """Texts in dense places match by longer prefixes than those in sparse ones; either way all links are found."""
+    monkeypatch.setattr(jaccard, "NODE", 8)
+    rng = random.Random(11)
+    texts = near_copies(rng, 60, 200) + [t for _ in range(20) for t in near_copies(rng, 2, 80)]
+    words = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(jaccard._doc_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    rows = jaccard.signatures(words)
+    met, below = jaccard.nodes(rows.select("did", "labels"), *jaccard.depths())
+    by_id = {r.did: r.id for r in rows.select("did", "key.id").collect()}
+    depth = {}
+    for r in met.collect():
+        depth.setdefault(by_id[r.did] < 60, set()).add(r.depth)
+    assert depth[True] == {4, 5} and depth[False] == {4}
+    assert {by_id[r.did] < 60 for r in below.collect()} == {True}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert result(jaccard.jaccard_join(docs)) == brute(list(enumerate(texts)))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity just over the threshold: at least 0.99 of them are linked."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(300):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(104)]
+        x = w[:10] + [f"v{g}"] + w[11:60] + [f"u{g}"] + w[61:]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(x))]
+    got = result(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert brute(rows)[0][2] == 2 and sum(n for _, _, _, n in got) >= 0.99 * 600
+
+
+def test_long_texts_are_cut_into_cells_by_words(spark, monkeypatch):
+    """Blocks hold so many words at most, so that a group of long texts is compared in many cells."""
+    monkeypatch.setattr(jaccard, "BLOCK_WORDS", 2000)
+    rows = list(enumerate(near_copies(random.Random(13), 30, 700)))
+    assert result(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
 T = " ".join(f"t{i}" for i in range(50))
