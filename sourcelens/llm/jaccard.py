@@ -34,8 +34,8 @@ from sourcelens.llm.graph import components
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES = 20
-MAX_DEPTH = 6
+TREES = 32
+MAX_DEPTH = 7
 #: Least share of the pairs at exactly the threshold that share a node.
 RECALL = 0.999
 #: Levels by which a matched prefix is shortened at most.
@@ -133,7 +133,7 @@ def signatures(keyed: DataFrame) -> DataFrame:
                 labels = paths(*shingles(words, ends))
                 cuts = [0, *ends]
                 did = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts, cuts[1:])]
-                cols = [batch.column(0).slice(at, len(ends)), pa.array(did, pa.binary()), pa.array([x.tobytes() for x in labels], pa.binary()), pa.array(ends)]
+                cols = [batch.column(0).slice(at, len(ends)), pa.array(did, pa.binary()), pa.array([x.tobytes() for x in labels], pa.binary()), pa.array(np.diff(ends, prepend=0))]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "did", "labels", "n_words"])
 
     return keyed.select("key", _hashed(F.col("text")).alias("words")).mapInArrow(run, f"key {_KEY}, did binary, labels binary, n_words long")

@@ -83,8 +83,8 @@ def test_cell_modes_agree():
     flat, ends = np.concatenate(words), np.cumsum([len(w) for w in words])
     hashes, first = jaccard.shingles(flat, ends)
     labels, sets = jaccard.paths(hashes, first), [np.unique(x) for x in np.split(hashes, first[1:])]
-    deep = [None if i % 3 else [{"tree": i % 20, "depth": 5}] for i in range(len(texts))]
-    code = jaccard.codes(labels, deep, 4)
+    deep = [None if i % 3 else [{"tree": i % 32, "depth": 7}] for i in range(len(texts))]
+    code = jaccard.codes(labels, deep, 6)
     whole = jaccard.compare(code, sets, None, -1, 0.8)
     parts = [jaccard.compare(code, sets, None, t, 0.8) for t in range(jaccard.TREES)]
     assert (sum(p.astype(int) for p in parts) == whole).all()
@@ -92,7 +92,7 @@ def test_cell_modes_agree():
 
 def test_depths():
     """The longest prefix that reaches the recall, and the shortest: they follow the threshold and the recall."""
-    assert jaccard.depths(0.8, 0.999) == (4, 5) and jaccard.depths(0.7, 0.999) == (2, 3)
+    assert jaccard.depths(0.8, 0.999) == (6, 7) and jaccard.depths(0.7, 0.999) == (3, 4)
     assert jaccard.depths(0.8, 0.9999999)[1] < 5 and jaccard.depths(0.99, 0.999)[1] == jaccard.MAX_DEPTH
 
 
@@ -103,12 +103,13 @@ def test_depth_follows_density(spark, monkeypatch):
     texts = near_copies(rng, 60, 200) + [t for _ in range(20) for t in near_copies(rng, 2, 80)]
     words = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(jaccard._doc_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
     rows = jaccard.signatures(words)
+    assert {r.id: r.n_words for r in rows.select("key.id", "n_words").collect()} == {i: len(x.split()) for i, x in enumerate(texts)}
     met, below = jaccard.nodes(rows.select("did", "labels"), *jaccard.depths())
     by_id = {r.did: r.id for r in rows.select("did", "key.id").collect()}
     depth = {}
     for r in met.collect():
         depth.setdefault(by_id[r.did] < 60, set()).add(r.depth)
-    assert depth[True] == {4, 5} and depth[False] == {4}
+    assert depth[True] == {6, 7} and depth[False] == {6}
     assert {by_id[r.did] < 60 for r in below.collect()} == {True}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert result(jaccard.jaccard_join(docs)) == brute(list(enumerate(texts)))
