@@ -14,16 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourcelens.llm import common
 
 #: Hashed n-grams.
 DIMS = 1 << 13
-#: Labelled texts that the model is fitted on, per language, about; and languages at most (the most frequent ones).
+#: Labelled texts that the model is fitted on, per language: those with the least hashes of text, then of id.
 SAMPLE_PER_LANG = 400
-MAX_LANGS = 256
+#: Bytes of all centroids at most.
+MODEL_BYTES = 1 << 30
 CENTROIDS = 4
 ROUNDS = 12
 #: A text is rejected below this part of the least cosine of its centroid's members.
@@ -105,46 +106,66 @@ def _cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return c[used], np.array([cosine[near == i, i].min() for i in used])
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on about SAMPLE_PER_LANG rows of each language, chosen by a hash of id and text.
+def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """lang, text: SAMPLE_PER_LANG distinct texts with a letter of each language at most, those with the least hashes."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    hashed = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(7), text_col).alias("t"), F.col(text_col).alias("text"))
+    # a sketch counts the distinct texts, so that about twice as many as needed reach the sort, however often texts repeat
+    share = hashed.groupBy("lang").agg(F.approx_count_distinct("t").alias("n")).select(F.col("lang").alias("l"), (2 * SAMPLE_PER_LANG / F.col("n")).alias("share"))
+    part = F.pmod(F.col("t"), F.lit(1 << 30)) / float(1 << 30)
+    near = hashed.join(share, F.col("lang") == F.col("l")).where(part < F.col("share")).dropDuplicates(["lang", "t"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(part, "t"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_PER_LANG).select("lang", "t", "text")
 
-    Only n-gram counts (at most DIMS a text) of the sample reach the driver.
-    """
-    rows = labelled.where(F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()}
-    if not sizes:
-        return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.zeros(0), np.ones(DIMS, np.float32))
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col(lang_col) == lang, min(1.0, SAMPLE_PER_LANG / n)).otherwise(share)
-    part = F.pmod(F.xxhash64(F.lit(7), id_col, text_col), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(part < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+def _clusters(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """lang, idf, centroids, least: each language is clustered in a task of its own, from its part of the sample."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(lang, c) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (c := counts(t.as_py())) is not None]
-            at = [np.flatnonzero(c) for _, c in got]
-            arrays = [[g[0] for g in got], at, [c[i] for (_, c), i in zip(got, at)]]
-            yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["lang", "at", "n"])
-
-    most = 2 * SAMPLE_PER_LANG * len(sizes)
-    got = sample.mapInArrow(features, "lang string, at array<int>, n array<int>").limit(most).toArrow().sort_by("lang")
-    x, langs = np.zeros((got.num_rows, DIMS), np.float32), got["lang"].to_pylist()
-    for i, (at, n) in enumerate(zip(got["at"], got["n"])):
-        x[i, at.values.to_numpy()] = n.values.to_numpy()
-    order = np.lexsort((x @ np.arange(1, DIMS + 1), langs)) if langs else np.zeros(0, int)  # the same order in every run
-    x, langs = x[order], np.array(langs)[order]
-    idf = (np.log((len(x) + 1) / ((x > 0).sum(0) + 1)) + 1).astype(np.float32)
-    x = _unit(np.log1p(x) * idf)
-    names, of, centroids, least = sorted(set(langs)), [], [], []
-    for i, lang in enumerate(names):
-        c, low = _cluster(x[langs == lang], CENTROIDS)
-        of += [i] * len(c)
-        centroids.append(c)
-        least.append(low)
-    if not names:
-        return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.zeros(0), idf)
-    return Model(names, np.array(of), np.concatenate(centroids).astype(np.float32), np.concatenate(least), idf)
+            got = [(lang, t, c) for lang, t, text in zip(*(batch.column(i).to_pylist() for i in range(3))) if (c := counts(text)) is not None]
+            at = [np.flatnonzero(c) for _, _, c in got]
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            arrays = [[g[0] for g in got], [g[1] for g in got], at, [c[i] for (_, _, c), i in zip(got, at)]]
+            yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds)], ["lang", "t", "at", "n"])
+
+    sample = common.written(_sample(labelled, id_col, text_col, lang_col).mapInArrow(features, "lang string, t long, at array<int>, n array<int>"), "langid")
+    total, df = sample.count(), np.zeros(DIMS)
+    for r in sample.select(F.explode("at").alias("i")).groupBy("i").count().collect():  # DIMS rows at most
+        df[r.i] = r["count"]
+    idf = (np.log((total + 1) / (df + 1)) + 1).astype(np.float32)
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("t")  # the same order in every run
+        x = np.zeros((t.num_rows, DIMS), np.float32)
+        for i, (at, n) in enumerate(zip(t["at"], t["n"])):
+            x[i, at.values.to_numpy()] = n.values.to_numpy()
+        c, low = _cluster(_unit(np.log1p(x) * idf), CENTROIDS)
+        return pa.table({"lang": t["lang"].slice(0, 1), "idf": [idf.tobytes()], "centroids": [c.astype(np.float32).tobytes()], "least": pa.array([low.tolist()], pa.list_(pa.float64()))})
+
+    return sample.groupBy("lang").applyInArrow(one, "lang string, idf binary, centroids binary, least array<double>")
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fits on SAMPLE_PER_LANG distinct texts of each language at most; equal texts count once, so repeats do not matter.
+
+    All languages are learned. Only centroids (32 KB each) reach the driver;
+    more than MODEL_BYTES of them raise an error. Rows without a language, or
+    with a null text or one without a letter, are left out; without any other
+    row the model is empty.
+    """
+    with common.Tables() as own:
+        made = common.written(_clusters(labelled, id_col, text_col, lang_col), "model")
+        size = made.agg(F.sum(F.octet_length("centroids"))).first()[0] or 0
+        if size > MODEL_BYTES:
+            raise ValueError(f"the centroids have {size} bytes, more than MODEL_BYTES")
+        rows = sorted(made.collect(), key=lambda r: r.lang)
+    own.release()
+    if not rows:
+        return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.zeros(0), np.ones(DIMS, np.float32))
+    of = np.concatenate([[i] * len(r.least) for i, r in enumerate(rows)]).astype(int)
+    centroids = np.concatenate([np.frombuffer(r.centroids, np.float32).reshape(-1, DIMS) for r in rows])
+    return Model([r.lang for r in rows], of, centroids, np.concatenate([r.least for r in rows]), np.frombuffer(rows[0].idf, np.float32))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", reject_as: str | None = None) -> DataFrame:
@@ -183,7 +204,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Fits on the rows that are not held out and predicts every row: id_col, held_out, lang_pred, score, rejected.
 
     Rows without a language are not learned from. Without any labelled row,
-    every text is `und`.
+    every text is `und`. Repeated rows are judged alike, texts of any length
+    whole; an empty table gives an empty result; other columns are not read.
     """
     model = fit(docs.where(~held_out(F.col(id_col))), id_col, text_col, lang_col)
     own = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))

@@ -69,7 +69,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     mined = model.associationRules.where(F.col("consequent")[0].startswith(_LABEL)).where(~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
     rules = mined.select(
-        F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 1000).alias("verdict"), "confidence", "support"
+        F.array_sort("antecedent").alias("antecedent"), F.regexp_replace(F.col("consequent")[0], f"^{_LABEL}", "").alias("verdict"), "confidence", "support"
     )
     rules = common.written(rules, "rules")
     # redundant: a rule for the same verdict with one token less has as much confidence
@@ -101,7 +101,9 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_
 
     Returns id_col, host, path, rule (of the given list, else null), verdict, confidence
     (of the mined rule that decided, else null). A null url, or one without ://,
-    has an empty host and path and gets the default verdict. If no URL has a
+    has an empty host and path and gets the default verdict. Repeated urls are
+    judged once and alike, urls of any length whole; an empty table gives an empty
+    result; other columns are not read. If no URL has a
     verdict from the list, or nothing is mined, the default decides.
     """
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})

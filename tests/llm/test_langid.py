@@ -53,3 +53,34 @@ def test_rejection(spark):
     odd = spark.createDataFrame([(1, "日本語のテキストです。" * 20)], "doc_id long, text string")
     r = langid.predict(odd, model, ["doc_id"], reject_as="other").first()
     assert r.rejected and r.lang_pred == "other"
+
+
+def test_every_language_is_learned(spark):
+    """More languages than fit in a few hundred, one of them a single text repeated many times; equal samples in every run."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(300):
+        a, b, c = alphabet[k % 26], alphabet[k // 26], alphabet[(7 * k + 3) % 26]
+        rows += [(len(rows) + i, f"{a}{b}{c} {b}{a}{a} {c}{c}{b} " * (5 + i), f"l{k:03d}") for i in range(2)]
+    rows += [(10_000 + i, "zq zq xx " * 9, "one") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.langs) == 301 and "one" in model.langs
+    again = langid.fit(docs.repartition(7))
+    assert (again.centroids == model.centroids).all() and (again.of == model.of).all()
+
+
+def test_nearest_centroid_brute_force(spark):
+    """Predictions and scores of the query are those of a plain search over all centroids."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out(docs.doc_id)))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.op9_langid(spark, SF_DIR).collect():
+        c = langid.counts(texts[r.doc_id])
+        if c is None:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        v = np.log1p(c) * model.idf.astype(float)
+        cosine = [float(v @ m) / np.linalg.norm(v) / np.linalg.norm(m) for m in model.centroids.astype(float)]
+        assert abs(max(cosine) - r.score) < 1e-5
+        assert max(x for x, k in zip(cosine, model.of) if model.langs[k] == r.lang_pred) >= max(cosine) - 1e-5
