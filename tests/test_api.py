@@ -36,6 +36,7 @@ def test_config_round_trip(tmp_path):
     ({"schema_version": "9"}, "schema_version"), ({"extra": 1}, "extra"), ({"name": " "}, "name"), ({"columns": {"source": ["a"], "unit": ["b"]}}, "columns.group"),
     ({"columns": {"source": [], "unit": ["b"], "group": ["c"]}}, "columns.source"), ({"columns": {"source": ["a", "a"], "unit": ["b"], "group": ["c"]}}, "columns.source[1]"),
     ({"weighting": {"mode": "incidence", "column": "m"}}, "weighting.column"), ({"weighting": {"mode": "column", "column": "m"}}, "weighting.description"),
+    ({"weighting": {"mode": "incidence", "column": None}}, "weighting.column"), ({"weighting": None}, "weighting"), ({"diagnostics": {"seed": None}}, "diagnostics.seed"),
     ({"policies": {"duplicates": "drop"}}, "policies.duplicates"), ({"policies": {"missing_tokens": [" x"]}}, "policies.missing_tokens[0]"),
     ({"diagnostics": {"include": ["magic"]}}, "diagnostics.include[0]"), ({"diagnostics": {"bootstrap_replicates": True}}, "diagnostics.bootstrap_replicates"),
     ({"execution": {"max_working_memory_mb": 0}}, "execution.max_working_memory_mb"), ({"hierarchy": {" d": ["x"]}}, "hierarchy"), ({"grain": {"name": "x", "description": "y", "z": 1}}, "grain.z"),
