@@ -7,6 +7,7 @@ tasks. Summaries are ordinary aggregations.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -32,77 +33,88 @@ class Simulated:
 
 
 def group_sizes(n_units: int, sizes: Sequence[int] | Mapping[str, int] | None = None) -> dict[str, int]:
-    """Units per group: halves A and B by default."""
-    if sizes is None:
-        out = {"A": n_units // 2, "B": n_units - n_units // 2}
-    elif isinstance(sizes, Mapping):
-        out = {str(k): int(v) for k, v in sizes.items()}
-    else:
-        out = {chr(65 + i) if i < 26 else f"G{i:02d}": int(v) for i, v in enumerate(sizes)}
-    if len(out) < 2 or min(out.values()) < 1 or sum(out.values()) != n_units:
+    """Units per group: halves A and B by default; a sequence names its groups A to Z, then G26 and so on."""
+    given = [n_units // 2, n_units - n_units // 2] if sizes is None else sizes
+    if not isinstance(given, Mapping):
+        letters = string.ascii_uppercase
+        given = {(letters[i] if i < len(letters) else f"G{i:02d}"): v for i, v in enumerate(given)}
+    out = {str(name): int(n) for name, n in given.items()}
+    if len(out) < 2 or any(n < 1 for n in out.values()) or sum(out.values()) != n_units:
         raise ValueError(f"groups {out} must be two or more, not empty, and hold {n_units} units together")
     return out
 
 
 def allocate(n: int, sizes: np.ndarray) -> np.ndarray:
-    """Group of each of n nested sources: largest remainders, one per group at least if there are enough."""
-    if not n:
-        return np.zeros(0, int)
-    quota = sizes / sizes.sum() * n
-    got = quota.astype(int)
-    for g in sorted(range(len(sizes)), key=lambda g: got[g] - quota[g])[: n - got.sum()]:
-        got[g] += 1
-    while n >= len(sizes) and (got == 0).any():
-        got[got.argmax()] -= 1
-        got[got.argmin()] += 1
-    return np.repeat(np.arange(len(sizes)), got)
+    """Group of each of n nested sources: in proportion to the sizes, one per group at least if there are enough.
+
+    The groups bid for one source after another: first each for its first, if
+    all can have one, then that with the largest size per source it would have.
+    """
+    sizes = np.asarray(sizes, float)
+    every = n >= len(sizes)
+    # the bids of a group fall with the sources it has, so the n highest of all are what bidding in turn gives
+    bids = sizes[:, None] / (np.arange(n) + 0.5)
+    if every and n:
+        bids[:, 0] = np.inf
+    order = np.argsort(-bids, axis=None, kind="stable")[:n]
+    return np.sort(order // max(n, 1))
 
 
 def simulate(n_units: int, n_sources: int, crossing: float, *, sizes=None, seed: int = 0, extra_rows: float = 1.0, dispersion: float = 0.0) -> Simulated:
     """A corpus with exactly round(crossing * n_sources) sources in two groups, every unit and every source present.
 
-    Each source gets a row (a crossing one a row in either of two groups), every unit that is still without a
-    source gets one, and Poisson many extra rows follow; repeats go. With dispersion, rows weigh lognormal masses.
+    A table of sources by groups says which units a source may hold. Every
+    allowed pair of them gets one unit drawn at random; a unit that no pair drew
+    goes to a random source that may hold it; Poisson many rows more per source
+    are drawn from all units that it may hold (any, if it crosses). Repeats go.
+    With dispersion, rows weigh lognormal masses of mean 1.
     """
-    if n_units < 2 or n_sources < 1:
-        raise ValueError(f"{n_units} units and {n_sources} sources are too few")
-    if not 0 <= crossing <= 1:
-        raise ValueError(f"the crossing fraction must lie in [0, 1], not {crossing}")
-    if extra_rows < 0 or dispersion < 0:
-        raise ValueError("extra rows and dispersion cannot be negative")
+    limits = {"units": n_units >= 2, "sources": n_sources >= 1, "crossing, which lies in [0, 1]": 0 <= crossing <= 1, "extra_rows": extra_rows >= 0, "dispersion": dispersion >= 0}
+    if wrong := [name for name, ok in limits.items() if not ok]:
+        raise ValueError(f"out of range: {', '.join(wrong)}")
     named = group_sizes(n_units, sizes)
-    size = np.array(list(named.values()))
-    begin, of_unit = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    size = np.fromiter(named.values(), int)
+    of_unit = np.repeat(np.arange(len(size)), size)
     rng = np.random.default_rng(seed)
-    n_cross = min(max(round(crossing * n_sources), 0), n_sources)
-    nested = allocate(n_sources - n_cross, size)
-    any_unit = lambda g: begin[g] + rng.integers(0, size[g]) if len(g) else np.zeros(0, int)
-    if len(size) == 2:
-        two = np.tile([0, 1], (n_cross, 1))
-    else:
-        two = np.array([rng.choice(len(size), 2, False, size / size.sum()) for _ in range(n_cross)], int).reshape(n_cross, 2)
-    source = [np.arange(n_cross), np.arange(n_cross), np.arange(n_cross, n_sources)]
-    unit = [any_unit(two[:, 0]), any_unit(two[:, 1]), any_unit(nested)]
-    bare = np.ones(n_units, bool)
-    bare[np.concatenate(unit)] = False
-    for g in range(len(size)):
-        need = np.flatnonzero(bare & (of_unit == g))
-        able = np.concatenate([np.arange(n_cross), n_cross + np.flatnonzero(nested == g)])
-        if len(need) and not len(able):
-            raise ValueError("a group has no source that could hold its units; use more sources or more crossing")
-        if len(need):
-            source.append(able[rng.integers(0, len(able), len(need))])
-            unit.append(need)
-    k = rng.poisson(extra_rows, n_sources)
-    source += [np.repeat(np.arange(n_cross), k[:n_cross]), np.repeat(np.arange(n_cross, n_sources), k[n_cross:])]
-    unit += [rng.integers(0, n_units, k[:n_cross].sum()), any_unit(np.repeat(nested, k[n_cross:]))]
-    rows = np.unique(np.concatenate(source).astype(np.int64) * n_units + np.concatenate(unit))
-    s, u = rows // n_units, rows % n_units
-    mass = np.ones(len(rows))
-    if dispersion > 0:
-        mass = rng.lognormal(0, dispersion, len(rows))
-        mass /= mass.mean()
-    return Simulated(s, u, of_unit[u], mass, tuple(named), n_cross)
+    n_cross = min(round(crossing * n_sources), n_sources)
+
+    # the two groups of a crossing source: those with the least exponential waiting times, which is a draw by size without return
+    waits = rng.exponential(size=(n_cross, len(size))) / size
+    home = allocate(n_sources - n_cross, size)
+    allowed = np.zeros((n_sources, len(size)), bool)
+    np.put_along_axis(allowed[:n_cross], np.argsort(waits, 1)[:, :2], True, 1)
+    allowed[np.arange(n_cross, n_sources), home] = True
+    if not allowed.any(0).all():
+        raise ValueError("a group has no source that could hold its units; use more sources or more crossing")
+
+    def units_of(group: np.ndarray) -> np.ndarray:
+        return (np.cumsum(size) - size)[group] + (rng.random(len(group)) * size[group]).astype(int)
+
+    source, group = np.nonzero(allowed)
+    unit = units_of(group)
+    bare = np.setdiff1d(np.arange(n_units), unit)
+    holders = allowed[:, of_unit[bare]]  # sources that may hold each bare unit; a random key each, the largest takes it
+    taker = np.where(holders, rng.random(holders.shape), -1).argmax(0) if len(bare) else np.zeros(0, int)
+    more = np.repeat(np.arange(n_sources), rng.poisson(extra_rows, n_sources))
+    crosses = more < n_cross
+    drawn = np.where(crosses, rng.integers(0, n_units, len(more)), 0)
+    drawn[~crosses] = units_of(home[more[~crosses] - n_cross])
+
+    rows = np.unique(np.stack([np.concatenate([source, taker, more]), np.concatenate([unit, bare, drawn])]), axis=1)
+    mass = rng.lognormal(0, dispersion, rows.shape[1]) if dispersion > 0 else np.ones(rows.shape[1])
+    out = Simulated(rows[0], rows[1], of_unit[rows[1]], mass / mass.mean(), tuple(named), n_cross)
+    _verify(out, n_units, n_sources)
+    return out
+
+
+def _verify(c: Simulated, n_units: int, n_sources: int) -> None:
+    """The counts that a simulated corpus promises."""
+    held = np.zeros((n_sources, len(c.groups)), bool)
+    held[c.source, c.group] = True
+    got = {"units": len(np.unique(c.unit)), "sources": int(held.any(1).sum()), "crossing": int((held.sum(1) > 1).sum())}
+    want = {"units": n_units, "sources": n_sources, "crossing": c.n_crossing}
+    if got != want:
+        raise RuntimeError(f"the simulated corpus has {got}, not {want}")
 
 
 def simulated_frame(spark: SparkSession, n_units: int, n_sources: int, crossing: float, **options) -> DataFrame:
@@ -139,7 +151,7 @@ def score(c: Simulated) -> dict[str, float]:
     return {"ratio": inside / top if top > 0 else None, "ceiling": ceiling, "h_group": top, "h_group_given_source": inside, "n_rows": len(c.source), "n_spanning": int(((w > 0).sum(1) > 1).sum())}
 
 
-def seeds(seed: int, n: int) -> np.ndarray:
+def seeds(seed: int | Sequence[int], n: int) -> np.ndarray:
     """n addressed seeds of a run."""
     return np.random.default_rng(seed).integers(0, _MAX_SEED, n, dtype=np.int64)
 
@@ -197,16 +209,20 @@ def design_curve(spark: SparkSession, n_units: int, n_sources: int, crossing_fra
     return cells.join(agg, "cell").drop("cell")
 
 
+#: Spread of the realized crossing around the aim of a draw.
+AIM_SPREAD = 0.15
+
+
 def random_draws(seed: int, aims: Sequence[float | None], *, units=(12, 120), sources=(6, 60), minority=(0.2, 0.5), extra_rows=(0.0, 3.0), dispersion=(0.0, 1.0)) -> list[tuple]:
-    """Random designs: their settings come from one generator on the driver, their simulation runs in parallel. An aim of None is any crossing fraction."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for rep, aim in enumerate(aims):
-        u, d = int(rng.integers(units[0], units[1] + 1)), int(rng.integers(sources[0], sources[1] + 1))
-        small = int(np.clip(round(rng.uniform(*minority) * u), 1, u - 1))
-        cross = float(rng.uniform()) if aim is None else float(np.clip(aim + rng.normal(0, 0.15), 0, 1))
-        out.append((0, rep, u, d, cross, int(rng.integers(0, _MAX_SEED)), float(rng.uniform(*extra_rows)), float(rng.uniform(*dispersion)), [small, u - small]))
-    return out
+    """Random designs, drawn setting by setting on the driver; their simulation runs in parallel. An aim of None is any crossing fraction."""
+    n, streams = len(aims), [np.random.default_rng(s) for s in np.random.SeedSequence(seed).spawn(7)]
+    between = lambda k, low, high: streams[k].uniform(low, high, n)
+    u, d = (streams[k].integers(low, high, n, endpoint=True) for k, (low, high) in enumerate((units, sources)))
+    small = np.clip(np.rint(between(2, *minority) * u), 1, u - 1).astype(int)
+    aim = np.array([np.nan if a is None else a for a in aims], float)
+    cross = np.where(np.isnan(aim), between(3, 0, 1), np.clip(np.nan_to_num(aim) + streams[3].normal(0, AIM_SPREAD, n), 0, 1))
+    cols = [u, d, cross, streams[4].integers(0, _MAX_SEED, n), between(5, *extra_rows), between(6, *dispersion)]
+    return [(0, rep, *row, [k, row[0] - k]) for rep, (row, k) in enumerate(zip(zip(*(c.tolist() for c in cols)), small.tolist()))]
 
 
 def simulated_ceiling_envelope(spark: SparkSession, edges: Sequence[float] | None = None, *, replicates: int = 200, seed: int = 0, min_count: int = 5, **ranges) -> DataFrame:
@@ -264,28 +280,41 @@ def minimum_viable_crossing(spark: SparkSession, target: float, units_grid=(20,
     )
 
 
+def _rising(y: Sequence[float]) -> list[float]:
+    """The rising curve nearest to y by squares: neighbours that fall are pooled into their mean."""
+    pools: list[tuple[float, int]] = []
+    for v in y:
+        pools.append((v, 1))
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            (b, m), (a, n) = pools.pop(), pools.pop()
+            pools.append(((a * n + b * m) / (n + m), n + m))
+    return [v for v, n in pools for _ in range(n)]
+
+
 def estimator_behavior(spark: SparkSession, target_ratio: float, sources_grid=(5, 10, 20, 40, 80), units_grid=(20, 50, 100), *, replicates: int = 200, seed: int = 0, reference: tuple[int, int] = (200, 200), calibration_points: int = 21, calibration_rep: int = 20, reference_rep: int = 50, extra_rows: float = 1.0, dispersion: float = 0.0) -> DataFrame:
     """Bias, spread and RMSE of the ratio at small sizes against a large reference design tuned to the target ratio.
 
-    The crossing fraction comes from a calibration curve made monotone by its running maximum; the reference is
-    what the large design reaches there with fresh seeds.
+    The crossing fraction comes from a calibration curve, made to rise by averaging; the reference is what the
+    large design reaches there with fresh seeds.
     """
     if not 0 <= target_ratio <= 1 or min(replicates, calibration_rep) < 1 or calibration_points < 2 or reference_rep < 2:
         raise ValueError("the target must lie in [0, 1] and the numbers of draws must be positive")
-    ru, rd = reference
-    half = list(group_sizes(ru).values())
-    f = np.linspace(0, 1, calibration_points)
-    s = seeds(seed + 1, calibration_points * calibration_rep)
-    draws = [(i, j, ru, rd, float(x), int(s[i * calibration_rep + j]), extra_rows, dispersion, half) for i, x in enumerate(f) for j in range(calibration_rep)]
-    means = {r.cell: r.m for r in scored(spark, draws).groupBy("cell").agg(F.avg("ratio").alias("m")).collect()}
-    curve = np.maximum.accumulate([means[i] for i in range(calibration_points)])
+    units, sources = reference
+    half = list(group_sizes(units).values())
+    tuning, fresh, small = np.random.SeedSequence(seed).generate_state(3).tolist()
+    at_reference = lambda f, s, n: [(i, j, units, sources, x, int(k), extra_rows, dispersion, half) for i, x in enumerate(f) for j, k in enumerate(seeds([s, i], n))]
+    f = [k / (calibration_points - 1) for k in range(calibration_points)]
+    # the curve is made to rise by averaging neighbours that fall: the nearest rising curve by squares
+    means = scored(spark, at_reference(f, tuning, calibration_rep)).groupBy("cell").agg(F.avg("ratio").alias("m")).orderBy("cell").collect()
+    curve = _rising([r.m for r in means])
     if not curve[0] <= target_ratio <= curve[-1]:
         raise ValueError(f"the reference design reaches ratios from {curve[0]:.4f} to {curve[-1]:.4f}, not {target_ratio}")
-    f_star = float(np.interp(target_ratio, curve, f))
-    ref = [(0, j, ru, rd, f_star, int(x), extra_rows, dispersion, half) for j, x in enumerate(seeds(seed + 2, reference_rep))]
-    r = scored(spark, ref).agg(F.avg("ratio").alias("m"), F.stddev_samp("ratio").alias("sd"), F.count("ratio").alias("n")).first()
+    k = max(1, next(k for k, y in enumerate(curve) if y >= target_ratio))
+    rise = curve[k] - curve[k - 1]
+    f_star = f[k - 1] + (f[k] - f[k - 1]) * (min(max((target_ratio - curve[k - 1]) / rise, 0.0), 1.0) if rise > 0 else 0.0)
+    r = scored(spark, at_reference([f_star], fresh, reference_rep)).agg(F.avg("ratio").alias("m"), F.stddev_samp("ratio").alias("sd"), F.count("ratio").alias("n")).first()
     cells = [(d, u) for d in sources_grid for u in units_grid]
-    s = seeds(seed, len(cells) * replicates)
+    s = seeds(small, len(cells) * replicates)
     draws = [(i, j, u, d, f_star, int(s[i * replicates + j]), extra_rows, dispersion, list(group_sizes(u).values())) for i, (d, u) in enumerate(cells) for j in range(replicates)]
     named = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "cell long, n_sources int, n_units int")
     off = F.col("ratio") - r.m
