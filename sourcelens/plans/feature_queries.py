@@ -33,19 +33,14 @@ def event_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings of labels 0 and 1 as profiles of one block."""
-    e = D.read(spark, sf_dir, "embeddings").where("label in (0, 1)")
-    return metrics.profiles(e, "vec_id", "embedding")
-
-
-def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings as profiles of one block."""
     return metrics.profiles(D.read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = D.read(spark, sf_dir, "embeddings").where("label in (0, 1)")
-    return e.select(F.col("vec_id").cast("string").alias("unit"), F.when(F.col("label") == 0, "a").otherwise("b").alias("side"))
+    """Labels below 5 are one side, all others the other."""
+    e = D.read(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("unit"), F.when(F.col("label") < 5, "a").otherwise("b").alias("side"))
 
 
 _SHARES = """WITH k AS (SELECT DISTINCT event_type FROM events), u AS (SELECT user_id::VARCHAR AS unit, event_type, count(*) AS n FROM events GROUP BY 1, 2),
@@ -79,7 +74,7 @@ def aitchison(spark, sf_dir):
     return metrics.aitchison(event_shares(spark, sf_dir), eps=0.5)
 
 
-_VECTORS = """WITH e AS (SELECT vec_id::VARCHAR AS unit, label, generate_subscripts(embedding, 1) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label IN (0, 1)),
+_VECTORS = """WITH e AS (SELECT vec_id::VARCHAR AS unit, CASE WHEN label < 5 THEN 0 ELSE 1 END AS label, generate_subscripts(embedding, 1) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings),
     z AS (SELECT unit, label, c, v - avg(v) OVER (PARTITION BY unit) AS v FROM e), s AS (SELECT unit, label, c, v / sqrt(sum(v * v) OVER (PARTITION BY unit)) AS v FROM z),
     pr AS (SELECT a.unit AS i, b.unit AS j, a.label AS li, b.label AS lj, least(greatest(sum(a.v * b.v), -1), 1) AS r FROM s a JOIN s b ON a.c = b.c WHERE a.unit < b.unit GROUP BY 1, 2, 3, 4)"""
 
@@ -89,14 +84,6 @@ def pearson(spark, sf_dir):
     return metrics.pearson(vectors(spark, sf_dir))
 
 
-_ALL_VECTORS = _VECTORS.replace(" WHERE label IN (0, 1)", "")
-
-
-@query("pearson_all", f"{_ALL_VECTORS} SELECT i, j, round(sqrt(1 - r), 6) AS distance, round(r, 6) + 0.0 AS similarity FROM pr", 6)
-def pearson_all(spark, sf_dir):
-    return metrics.pearson(all_vectors(spark, sf_dir))
-
-
 @query("dispersion_gap", f"{_VECTORS} SELECT round(abs(avg(r) FILTER (li = 0 AND lj = 0) - avg(r) FILTER (li = 1 AND lj = 1)), 9) AS gap FROM pr")
 def dispersion_gap(spark, sf_dir):
     return calibration.gap_of(metrics.pearson(vectors(spark, sf_dir)), _members(spark, sf_dir))
@@ -139,28 +126,31 @@ def aitchison_sweep(spark, sf_dir):
     return metrics.aitchison_pseudocount_sweep(event_shares(spark, sf_dir), _EPS, score, (True,))
 
 
-def _ten_vectors(spark, sf_dir):
-    first = D.read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(10)
-    return metrics.pearson(metrics.profiles(first, "vec_id", "embedding"))
+def _label_means(spark, sf_dir):
+    """Similarities of the labels' mean embeddings: few enough units to list every partition, made from all embeddings."""
+    each = D.read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("c", "v"))
+    mean = each.groupBy("label", "c").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    mean = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "v"))), lambda x: x["v"]).alias("mean"))
+    return metrics.pearson(metrics.profiles(mean, "label", "mean"))
 
 
-_TEN = """WITH e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS k, generate_subscripts(embedding, 1) AS c, unnest(embedding)::DOUBLE AS v FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 10)),
-    ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS k FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 10)),
-    z AS (SELECT e.vec_id, c, v - avg(v) OVER (PARTITION BY e.vec_id) AS v FROM e), s AS (SELECT ids.k, c, v / sqrt(sum(v * v) OVER (PARTITION BY z.vec_id)) AS v FROM z JOIN ids USING (vec_id)),
+_MEANS = """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings), e AS (SELECT label, c, avg(v) AS v FROM x GROUP BY 1, 2),
+    ids AS (SELECT label, row_number() OVER (ORDER BY label::VARCHAR) - 1 AS k FROM (SELECT DISTINCT label FROM embeddings)),
+    z AS (SELECT label, c, v - avg(v) OVER (PARTITION BY label) AS v FROM e), s AS (SELECT ids.k, c, v / sqrt(sum(v * v) OVER (PARTITION BY z.label)) AS v FROM z JOIN ids USING (label)),
     pr AS (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS r FROM s a JOIN s b ON a.c = b.c WHERE a.k < b.k GROUP BY 1, 2),
-    m AS (SELECT range AS mask FROM range(1024) WHERE bit_count(range) = 4),
+    every AS (SELECT unnest(range((1::BIGINT << count(*)))) AS mask FROM ids), m AS (SELECT mask FROM every WHERE bit_count(mask) = 4),
     g AS (SELECT mask, abs(avg(r) FILTER ((mask >> i) & 1 = 1 AND (mask >> j) & 1 = 1) - avg(r) FILTER ((mask >> i) & 1 = 0 AND (mask >> j) & 1 = 0)) AS gap FROM m CROSS JOIN pr GROUP BY 1)"""
 
 
-@query("split_null", f"{_TEN} SELECT count(*) AS n_evaluated, round(max(gap), 9) AS maximum, round(avg(gap), 9) AS mean, count(*) FILTER (gap >= 0.05) AS n_reaching FROM g")
+@query("split_null", f"{_MEANS} SELECT count(*) AS n_evaluated, round(max(gap), 9) AS maximum, round(avg(gap), 9) AS mean, count(*) FILTER (gap >= 0.05) AS n_reaching FROM g")
 def split_null(spark, sf_dir):
-    stats, _ = calibration.null_statistics(_ten_vectors(spark, sf_dir), 4)
+    stats, _ = calibration.null_statistics(_label_means(spark, sf_dir), 4)
     return stats.agg(F.count(F.lit(1)).alias("n_evaluated"), F.max("gap").alias("maximum"), F.avg("gap").alias("mean"), F.count_if(F.col("gap") >= 0.05).alias("n_reaching"))
 
 
 def _halves(spark, sf_dir):
     """Similarities of all embeddings, and half their number."""
-    p = all_vectors(spark, sf_dir)
+    p = vectors(spark, sf_dir)
     return metrics.pearson(p), p.count() // 2
 
 
