@@ -34,3 +34,12 @@ def test_packed_rows(spark, monkeypatch):
     blocks, k, begins = metrics._packed(p)
     assert k == metrics.BLOCKS and blocks.count() <= k and begins == [0]
     assert metrics.round_half_up(np.array([0.5000005, -0.0, -1.25]), 1).tolist() == [0.5, 0.0, -1.3]
+
+
+def test_sweep_counts_copies(spark, tmp_path):
+    d = copied_events(spark, tmp_path)
+    tables = {"events": spark.read.parquet(f"{d}/events.parquet").toArrow()}
+    same(catalog.queries()["aitchison_sweep"](spark, d), catalog.oracle_sql()["aitchison_sweep"], d, tables)
+    p = metrics.profiles(spark.createDataFrame([("a", [0.5, 0.5]), ("b", [0.5, 0.5]), ("c", [0.25, 0.75])], "unit string, v array<double>"), "unit", "v")
+    pairs = metrics.class_pairs(metrics.log_ratios(p), metrics._squares).collect()
+    assert sorted((r.i, r.j, r.n) for r in pairs) == [("a", "a", 1), ("a", "c", 2)] or sorted((r.j, r.i, r.n) for r in pairs) == [("a", "a", 1), ("a", "c", 2)]
