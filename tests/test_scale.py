@@ -43,3 +43,14 @@ def test_sweep_counts_copies(spark, tmp_path):
     p = metrics.profiles(spark.createDataFrame([("a", [0.5, 0.5]), ("b", [0.5, 0.5]), ("c", [0.25, 0.75])], "unit string, v array<double>"), "unit", "v")
     pairs = metrics.class_pairs(metrics.log_ratios(p), metrics._squares).collect()
     assert sorted((r.i, r.j, r.n) for r in pairs) == [("a", "a", 1), ("a", "c", 2)] or sorted((r.j, r.i, r.n) for r in pairs) == [("a", "a", 1), ("a", "c", 2)]
+
+
+def test_agreement_counts_copies(spark, monkeypatch, tmp_path):
+    """By pairs of different profiles the agreement is that of all pairs."""
+    d = copied_events(spark, tmp_path)
+    by_class = {(r.a, r.b): r.spearman for r in catalog.queries()["metric_agreement"](spark, d).collect()}
+    every = {n: (lambda p, n=n: metrics.METRICS[n](p)) for n in ("euclidean", "fisher_rao", "hellinger", "jensen_shannon")}
+    from sourcelens.plans.feature_queries import event_shares
+
+    plain = {(r.a, r.b): r.spearman for r in metrics.metric_agreement(event_shares(spark, d), every).collect()}
+    assert len(plain) == 16 and by_class == {k: pytest.approx(v, abs=1e-3) for k, v in plain.items()}
