@@ -54,3 +54,33 @@ def test_agreement_counts_copies(spark, monkeypatch, tmp_path):
 
     plain = {(r.a, r.b): r.spearman for r in metrics.metric_agreement(event_shares(spark, d), every).collect()}
     assert len(plain) == 16 and by_class == {k: pytest.approx(v, abs=1e-3) for k, v in plain.items()}
+
+
+def vectors(spark, n=40, width=16):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, width)) + 1
+    p = metrics.profiles(spark.createDataFrame([(f"u{k:02}", v.tolist()) for k, v in enumerate(x)], "unit string, v array<double>"), "unit", "v")
+    member = spark.createDataFrame([(f"u{k:02}", "a" if k < 15 else "b") for k in range(n)], "unit string, side string")
+    return x, p, member
+
+
+def test_gaps_from_vectors(spark):
+    """Sides of vectors give the gap of all their pairs without a pair."""
+    x, p, member = vectors(spark)
+    r = np.corrcoef(x)
+    mean = lambda s: np.mean([r[i, j] for i, j in combinations(s, 2)])
+    want = mean(range(15)) - mean(range(15, 40))
+    u = metrics.unit_vectors(p)
+    assert calibration.gap_of(u, member, signed=True).first().gap == pytest.approx(want, abs=1e-12)
+    assert calibration.named_split(u, member.withColumnRenamed("side", "label"), "a", "b").first().gap == pytest.approx(want, abs=1e-12)
+    assert calibration.gap_of(u, member.where("unit = 'u00' or side = 'b'")).first().gap is None
+
+
+def test_wide_vectors_are_made_once(spark):
+    """Lengths and means are computed once a row, not for every cell."""
+    rng = np.random.default_rng(1)
+    rows = [(str(k), v.tolist()) for k, v in enumerate(rng.normal(size=(40, 600)))]
+    p = metrics.profiles(spark.createDataFrame(rows, "unit string, v array<double>"), "unit", "v")
+    began = time.time()
+    assert metrics.unit_vectors(p).count() == 40 and len(metrics.unit_vectors(p).collect()) == 40
+    assert time.time() - began < 60
