@@ -84,3 +84,11 @@ def test_wide_vectors_are_made_once(spark):
     began = time.time()
     assert metrics.unit_vectors(p).count() == 40 and len(metrics.unit_vectors(p).collect()) == 40
     assert time.time() - began < 60
+
+
+def test_centrality_from_vectors(spark):
+    _, p, member = vectors(spark)
+    u = metrics.unit_vectors(p)
+    even = calibration.KBreakEven(0.9, 1.1, 15, 25)
+    got, want = calibration.k_diagnostic(u, member, even).first(), calibration.k_diagnostic(metrics.pearson(p), member, even).first()
+    assert (got.sd_a, got.sd_b, got.k) == pytest.approx((want.sd_a, want.sd_b, want.k), abs=1e-12) and got.verdict == want.verdict
