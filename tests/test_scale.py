@@ -92,3 +92,22 @@ def test_centrality_from_vectors(spark):
     even = calibration.KBreakEven(0.9, 1.1, 15, 25)
     got, want = calibration.k_diagnostic(u, member, even).first(), calibration.k_diagnostic(metrics.pearson(p), member, even).first()
     assert (got.sd_a, got.sd_b, got.k) == pytest.approx((want.sd_a, want.sd_b, want.k), abs=1e-12) and got.verdict == want.verdict
+
+
+def test_null_beyond_a_matrix(spark):
+    """More units than a driver's matrix holds; the gaps of all pairs."""
+    _, p, _ = vectors(spark, 5200, 3)
+    u = metrics.unit_vectors(p)
+    stats, plan = calibration.null_statistics(u, 2600, samples=4, seed=1)
+    got = [r.gap for r in stats.orderBy("rank").collect()]
+    _, v = calibration.vector_matrix(u)
+    s = v @ v.T
+    np.fill_diagonal(s, 0)
+    assert plan["n"] == 5200 and got == pytest.approx(calibration.gap_batch(s, calibration.drawn_masks(np.arange(4), 5200, 2600, 1)).tolist(), abs=1e-12)
+
+
+def test_histogram_from_vectors(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "BLOCK_UNITS", 7)
+    _, p, _ = vectors(spark, 30)
+    got, want = (calibration.arbitrary_split_null(x, 15, bins=20, observed=0.05, samples=200) for x in (metrics.unit_vectors(p), metrics.pearson(p)))
+    assert got.histogram == want.histogram and got.width == pytest.approx(want.width) and got.registered == want.registered
