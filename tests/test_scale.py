@@ -111,3 +111,14 @@ def test_histogram_from_vectors(spark, monkeypatch):
     _, p, _ = vectors(spark, 30)
     got, want = (calibration.arbitrary_split_null(x, 15, bins=20, observed=0.05, samples=200) for x in (metrics.unit_vectors(p), metrics.pearson(p)))
     assert got.histogram == want.histogram and got.width == pytest.approx(want.width) and got.registered == want.registered
+
+
+def test_median_split_is_written_by_tasks(spark):
+    """Thousands of tied values: a variant is a row of bits on the driver."""
+    v = [3.0] * 5 + [2.0] * 6000 + [1.0] * 5
+    above, tied, masks, whole = calibration._median_split_picks(v, None, 40, 0)
+    assert len(above) == 5 and len(masks) == 40 and not whole and {len(m) for m in masks} == {750}
+    rows = calibration.median_split_table(spark, v, max_variants=40).orderBy("variant").collect()
+    want, _ = calibration.median_split_indices(v, max_variants=40)
+    assert [tuple(r.side_a) for r in rows] == want == sorted(want)
+    assert calibration.median_split_indices([2, 1, 1, 1])[0] == [(0, 1), (0, 2), (0, 3)]
