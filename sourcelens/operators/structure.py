@@ -8,18 +8,47 @@ gives all c >= 2 from a far smaller join. Either join is chosen by its size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelens.functions.frames import attach, n_pairs, ratio
 from sourcelens.operators.tables import describe, edges, spanning_sources
 
 
+#: Units in a block of a source's units, when pairs are listed.
+BLOCK_UNITS = 1000
+
+
+def _met(e: DataFrame, kept: Column) -> DataFrame:
+    """unit_a < unit_b for the pairs of e (source, unit, sole) that meet in a source; kept chooses by sole_a and sole_b. A pair comes once per source.
+
+    The units of a source are packed into blocks, and each pair of blocks is one key: a large source goes to many tasks, and no unit is copied per unit.
+    """
+    sizes = e.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / BLOCK_UNITS).cast("int").alias("k"))
+    dealt = e.join(sizes, "source").withColumn("side", F.pmod(F.xxhash64("unit"), F.col("k")).cast("int"))
+    blocks = dealt.groupBy("source", "k", "side").agg(F.collect_list(F.struct("unit", "sole")).alias("u"))
+    parts = 2 * int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = blocks.select("source", F.col("side").alias("low"), F.explode(F.sequence(F.col("side"), F.col("k") - 1)).alias("high"), F.col("u").alias("ua")).repartition(parts, "source", "low", "high")
+    b = blocks.select("source", F.explode(F.sequence(F.lit(0), F.col("side"))).alias("low"), F.col("side").alias("high"), F.col("u").alias("ub")).repartition(parts, "source", "low", "high")
+    cells = a.join(b, ["source", "low", "high"]).select("low", "high", F.explode("ua").alias("a"), "ub")
+    pairs = cells.select("low", "high", "a", F.explode("ub").alias("b")).select("low", "high", F.col("a.unit").alias("a"), F.col("a.sole").alias("sole_a"), F.col("b.unit").alias("b"), F.col("b.sole").alias("sole_b"))
+    # inside one block both orders of a pair come, across blocks one
+    once = pairs.where(kept).where("a < b or (low < high and b < a)")
+    return once.select(F.least("a", "b").alias("unit_a"), F.greatest("a", "b").alias("unit_b"))
+
+
 def shared_source_pairs(frame: DataFrame) -> DataFrame:
-    """unit_a < unit_b, n_shared: unit pairs with at least one source in common."""
+    """unit_a < unit_b, n_shared: unit pairs with at least one source in common.
+
+    A pair with a unit of one source shares that one, so only the pairs of units with several sources are shuffled and counted.
+    """
     e = edges(frame)
-    a, b = e.select("source", F.col("unit").alias("unit_a")), e.select("source", F.col("unit").alias("unit_b"))
-    return a.join(b, "source").where("unit_a < unit_b").groupBy("unit_a", "unit_b").agg(F.count(F.lit(1)).alias("n_shared"))
+    degree = e.groupBy("unit").agg((F.count(F.lit(1)) == 1).alias("sole"))
+    e = e.join(degree, "unit").select("source", "unit", "sole")
+    ones = _met(e, F.col("sole_a") | F.col("sole_b")).withColumn("n_shared", F.lit(1).cast("long"))
+    rest = e.where("not sole")
+    several = _met(rest, F.lit(True)).groupBy("unit_a", "unit_b").agg(F.count(F.lit(1)).alias("n_shared"))
+    return ones.unionByName(several)
 
 
 def _join_sizes(e: DataFrame) -> tuple[int, int]:

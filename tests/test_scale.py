@@ -122,3 +122,20 @@ def test_median_split_is_written_by_tasks(spark):
     want, _ = calibration.median_split_indices(v, max_variants=40)
     assert [tuple(r.side_a) for r in rows] == want == sorted(want)
     assert calibration.median_split_indices([2, 1, 1, 1])[0] == [(0, 1), (0, 2), (0, 3)]
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_shared_pairs_by_blocks(spark, monkeypatch, block):
+    """Units of one source and of several, in sources of many blocks."""
+    from sourcelens.operators import structure
+
+    monkeypatch.setattr(structure, "BLOCK_UNITS", block)
+    of = {f"u{k:02}": {f"s{k % 3}"} | ({"s0", f"s{k % 2}"} if k % 4 == 0 else set()) for k in range(30)}
+    frame = spark.createDataFrame([(s, u) for u, x in of.items() for s in x for _ in range(2)], "source string, unit string")
+    got = structure.shared_source_pairs(frame)
+    want = {(a, b): len(of[a] & of[b]) for a, b in combinations(of, 2) if of[a] & of[b]}
+    rows = got.collect()
+    assert {(r.unit_a, r.unit_b): r.n_shared for r in rows} == want and len(rows) == len(want)
+    # pairs of units with one source are not aggregated
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")
