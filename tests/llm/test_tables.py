@@ -1,6 +1,7 @@
 import os
 
 import pytest
+import pyarrow as pa
 from tests.oracle import SF_DIR
 
 import corpus_pipeline
@@ -37,3 +38,19 @@ def test_a_failed_run_leaves_nothing(spark, folder):
     with pytest.raises(RuntimeError):
         broken(spark.range(3))
     assert [x for x in os.listdir(folder) if not x.endswith(".crc")] == []
+
+
+def test_small_batches(spark):
+    """A table's job hands small Arrow batches to Python, and the session's option stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    wide = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 2000000) AS t")
+    with common.Tables() as own:
+        most = common.written(wide.mapInArrow(sizes, "n long"), "batches", own).agg({"n": "max"}).first()[0]
+        own.release()
+    assert most <= 12_000_000 and spark.conf.get(key) == before
