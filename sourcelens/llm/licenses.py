@@ -6,7 +6,9 @@ the templates; a word of no template has the highest weight, so foreign words
 pull a block away from all templates. A text without any anchor word is passed
 over: anchors are chosen so that a block without them cannot reach the
 threshold. Files without a licence of their own inherit that of the licence
-file in the nearest directory above, by equality joins of directory paths.
+file in the nearest directory above, by equality joins of directory paths. A
+licence file is known by its name or, where names say nothing, by its text: it
+is a licence and nothing else.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from sourcelens.llm import common
 
 #: Cosine that a block needs.
 THRESHOLD = 0.75
+#: Cosine from which a whole short text is a licence and nothing else: two other words bring a one-line notice below it.
+ALONE = 0.9
+#: Tokens from which a text is not short; it needs the usual threshold, as licences are longer than their templates.
+NOTICE = 50
 #: Lines at the top of a file that are tried together.
 HEADER_LINES = 40
 #: Tokens of a window in which longer blocks are looked through; windows overlap by half.
@@ -150,6 +156,12 @@ class Templates:
             yield "header", " ".join(lines[:HEADER_LINES])
         yield "text", text
 
+    def alone(self, text: str) -> bool:
+        """Whether a text is a licence and nothing else: as one vector it is near a template."""
+        bag = terms(text)
+        least = self.threshold if sum(bag.values()) >= NOTICE else max(ALONE, self.threshold)
+        return self._nearest(bag)[0] >= least - 1e-12
+
     def scan(self, text: str | None) -> tuple[str | None, float, str | None]:
         """Licence, cosine and kind of the best block that reaches the threshold."""
         found = (0.0, 0, "")
@@ -168,7 +180,7 @@ def _prepared(templates: tuple[tuple[str, str], ...], threshold: float) -> Templ
 
 
 def scanned(files: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files with text_col replaced by own_license, cosine, found_in."""
+    """files with text_col replaced by own_license, cosine, found_in, alone (the text is that licence and nothing else)."""
     keep = [c for c in files.columns if c != text_col]
     given = tuple(templates)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema]
@@ -176,12 +188,14 @@ def scanned(files: DataFrame, text_col: str = "text", templates: list[tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _prepared(given, threshold)
         for batch in batches:
-            got = [own.scan(t.as_py()) for t in batch.column(len(keep))]
+            texts = batch.column(len(keep)).to_pylist()
+            got = [own.scan(t) for t in texts]
             name, score, kind = zip(*got) if got else ((), (), ())
-            cols = [pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(kind, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], [*keep, "own_license", "cosine", "found_in"])
+            alone = [n is not None and own.alone(t) for n, t in zip(name, texts)]
+            cols = [pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(kind, pa.string()), pa.array(alone, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], [*keep, "own_license", "cosine", "found_in", "alone"])
 
-    return files.select(*keep, text_col).mapInArrow(run, ", ".join([*kept, "own_license string, cosine double, found_in string"]))
+    return files.select(*keep, text_col).mapInArrow(run, ", ".join([*kept, "own_license string, cosine double, found_in string, alone boolean"]))
 
 
 def _directory(path: Column) -> Column:
@@ -199,21 +213,24 @@ def inherited(dirs: DataFrame, licence_dirs: DataFrame) -> DataFrame:
 
 
 @common.tracked
-def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, by_text: bool = False) -> DataFrame:
     """Licence of every file: its own, else that of the licence file in the nearest directory above.
 
     Returns id_col, path_col, own_license, cosine (to the nearest template, 0 if
     the text has no anchor word), found_in (line, paragraph, header, text), license,
-    inherited_from (path of the licence file, null unless inherited). Of several
-    licence files in a directory the one with the highest cosine counts, then the
-    first path. Null texts have no licence of their own; files with a null path
+    inherited_from (path of the licence file, null unless inherited). Licence files
+    have a licence and a name like LICENSE, COPYING or COPYRIGHT; with by_text, files
+    of any name whose text is a licence and nothing else are licence files too. Of
+    several in a directory, those known by name come before those known by text,
+    then the one with the highest cosine (to nine places) counts, then the first path. Null texts have no licence of their own; files with a null path
     inherit nothing. Repeated rows are judged alike; an empty table gives an
     empty result; other columns are not read.
     """
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     found = common.written(scanned(rows, "text", templates, threshold).withColumn("dir", _directory(F.col("path"))), "licenses")
-    is_file = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILES) & F.col("own_license").isNotNull()
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("path"), F.col("own_license"))).alias("x")
+    named = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILES)
+    is_file = F.col("path").isNotNull() & F.col("own_license").isNotNull() & (named | F.lit(by_text) & F.col("alone"))
+    best = F.min(F.struct((~named).alias("by_text"), (-F.round("cosine", 9)).alias("c"), F.col("path"), F.col("own_license"))).alias("x")
     licence_dirs = common.written(found.where(is_file).groupBy(F.col("dir").alias("at")).agg(best).select("at", F.col("x.own_license").alias("license"), F.col("x.path").alias("file")), "licence_dirs")
     needing = found.where("own_license is null and dir is not null").select("dir").distinct()
     given = common.written(inherited(needing, licence_dirs), "inherited").withColumnRenamed("license", "inherited")
@@ -226,7 +243,12 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
 
 @common.tracked
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of every document; documents have no paths of their own, so source and language are their directories."""
+    """Licence of every document, its own or inherited.
+
+    Documents have no paths of their own: source and language are their
+    directories, those without a language lie in their source's. Documents that
+    are a licence and nothing else are the licence files there.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return license_scan(docs.select("doc_id", path.alias("path"), "text"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan(docs.select("doc_id", path.alias("path"), "text"), by_text=True)

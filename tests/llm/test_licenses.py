@@ -81,3 +81,57 @@ def test_very_long_texts():
     assert own.scan(prose + "\n" + notice + "\n" + prose)[0] == "MIT"
     filler = " ".join(f"word{i}" for i in range(3000))  # in one line with other words, a window that is mostly notice is needed
     assert own.scan(filler + " " + " ".join([notice] * 5) + " " + filler)[0] == "MIT"
+
+
+FULL = MIT + (
+    ", INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+    "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+GPL = "This work is licensed under the GNU General Public License, version 3."
+DOCUMENTS = [
+    (1, "Copyright (c) 2024 Jane Doe\n\n" + FULL, "en", "a"), (2, "plain prose of this source", "en", "a"), (3, "prose\n" + GPL, "en", "a"), (4, "andere Worte", "de", "a"), (5, None, "en", "a"),
+    (6, GPL, "de", "b"), (7, "Licensed under CC BY 4.0.", None, "b"), (8, "Prosa", "de", "b"), (9, "prose", "en", "b"), (10, "no language", None, "b"),
+    (11, "Was orer.\n" + GPL, "en", "c"), (12, "prose", "en", "c"), (13, "Released under the MIT License.", "en", None), (14, "prose", "en", None), (15, "", "fr", None),
+    (16, GPL, "en", "d"), (17, APACHE, "en", "d"), (18, "prose", "en", "d"), (19, "prose", "en", "bc"),
+]
+
+
+def brute_scan(text):
+    """Licence by the best line, paragraph, header or whole text, and whether the whole text is a licence alone."""
+    lines = (text or "").split("\n")
+    blocks = [*lines, *(p.replace("\n", " ") for p in "\n".join(x.strip() for x in lines).split("\n\n")), " ".join(lines[: lic.HEADER_LINES]), text or ""]
+    score, name = max(((brute_cosine(b, t), -i) for b in blocks for i, (_, t) in enumerate(lic.TEMPLATES)))
+    whole = max(brute_cosine(text or "", t) for _, t in lic.TEMPLATES)
+    if score < lic.THRESHOLD - 1e-9:
+        return None, score, False
+    return lic.TEMPLATES[-name][0], score, whole >= (lic.THRESHOLD if sum(lic.terms(text).values()) >= lic.NOTICE else lic.ALONE) - 1e-9
+
+
+def test_query_inherits(spark, tmp_path):
+    """Documents that are a licence alone give it to those without one in their directory and below; the whole query against brute force."""
+    spark.createDataFrame(DOCUMENTS, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in lic.op1_licenses(spark, str(tmp_path)).collect()}
+    assert got.keys() == {d[0] for d in DOCUMENTS}
+    own = {i: brute_scan(t) for i, t, _, _ in DOCUMENTS}
+    where = {i: [s or "unknown", *([g] if g else [])] for i, _, g, s in DOCUMENTS}
+    heirs = 0
+    for i in own:
+        want, source = own[i][0], None
+        for k in range(len(where[i]), 0, -1) if want is None else ():
+            files = [(-round(own[j][1], 9), "/".join([*where[j], f"{j}.txt"]), own[j][0]) for j in own if own[j][2] and where[j] == where[i][:k]]
+            if files:
+                _, source, want = min(files)
+                break
+        assert (got[i].own_license, got[i].license, got[i].inherited_from) == (own[i][0], want, source), (i, got[i])
+        heirs += source is not None
+    assert heirs == 7 and got[2].license == "MIT" and got[8].license == "GPL-3.0" and got[9].license == "CC-BY-4.0" == got[10].license
+    assert got[4].license is None and got[12].license is None and got[15].license is None and got[19].license is None
+
+
+def test_by_text(spark):
+    """Files named as licence files come before those known by their text, which count only if asked for."""
+    files = spark.createDataFrame([(1, "x/LICENSE", "Notice of old\n" + GPL), (2, "x/a.txt", MIT), (3, "x/b.txt", "code"), (4, "y/c.txt", MIT), (5, "y/d.txt", "code"), (6, None, MIT), (7, "e", "code")], "doc_id long, path string, text string")
+    of = lambda **k: {r.doc_id: (r.license, r.inherited_from) for r in lic.license_scan(files, **k).collect()}
+    assert of()[3] == ("GPL-3.0", "x/LICENSE") == of(by_text=True)[3]
+    assert of()[5] == (None, None) and of(by_text=True)[5] == ("MIT", "y/c.txt")
+    assert of(by_text=True)[7] == (None, None)
