@@ -139,3 +139,29 @@ def test_shared_pairs_by_blocks(spark, monkeypatch, block):
     # pairs of units with one source are not aggregated
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union")
+
+
+@pytest.mark.parametrize("ranked", [None, 0])
+def test_agreement_of_blocks(spark, monkeypatch, ranked):
+    """Pairs inside a block meet in every geometry, whatever the order of their units; ranges of values instead of values; no pair leaves its task."""
+    from itertools import product
+
+    import pandas as pd
+
+    if ranked is not None:
+        monkeypatch.setattr(metrics, "RANKED", ranked)
+    monkeypatch.setattr(metrics, "BLOCK_UNITS", 20)
+    x = np.random.default_rng(5).dirichlet([2, 3, 4, 5], 70)
+    x = np.concatenate([x, x[:10]])
+    p = metrics.profiles(spark.createDataFrame([(f"u{k:02}", v.tolist()) for k, v in enumerate(x)], "unit string, v array<double>").repartition(7), "unit", "v")
+    i, j = np.triu_indices(len(x), 1)
+    mid = (x[i] + x[j]) / 2
+    overlap = np.minimum(np.sqrt(x[i] * x[j]).sum(1), 1)
+    want = {
+        "euclidean": np.sqrt(np.square(x[i] - x[j]).sum(1)), "hellinger": np.sqrt(1 - overlap), "pearson": np.sqrt(1 - np.array([np.corrcoef(x[a], x[b])[0, 1] for a, b in zip(i, j)]).clip(-1, 1)),
+        "jensen_shannon": np.sqrt(np.maximum((x[i] * np.log2(x[i] / mid) + x[j] * np.log2(x[j] / mid)).sum(1) / 2, 0)),
+    }
+    ranks = {n: pd.Series(np.where(v < 1e-6, 0, v)).rank() for n, v in want.items()}
+    for which in ("distance", "similarity"):
+        got = {(r.a, r.b): r.spearman for r in metrics.metric_agreement(p, list(want), which).collect()}
+        assert got == {(a, b): pytest.approx(np.corrcoef(ranks[a], ranks[b])[0, 1], abs=1e-6 if ranked is None else 1e-5) for a, b in product(want, want)}
