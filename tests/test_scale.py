@@ -165,3 +165,21 @@ def test_agreement_of_blocks(spark, monkeypatch, ranked):
     for which in ("distance", "similarity"):
         got = {(r.a, r.b): r.spearman for r in metrics.metric_agreement(p, list(want), which).collect()}
         assert got == {(a, b): pytest.approx(np.corrcoef(ranks[a], ranks[b])[0, 1], abs=1e-6 if ranked is None else 1e-5) for a, b in product(want, want)}
+
+
+@pytest.mark.parametrize("name", ["aitchison", "euclidean", "jensen_shannon", "pearson", "fisher_rao", "hellinger"])
+def test_pairs_leave_in_runs(spark, monkeypatch, name):
+    """Every pair once, equal values one after the other, so that files hold runs; a profile of most units is dealt to several blocks."""
+    monkeypatch.setattr(metrics, "BLOCK_UNITS", 40)
+    monkeypatch.setattr(metrics, "SORTED_PAIRS", 3000)
+    kinds = [[0.5, 0.3, 0.2], [0.1, 0.2, 0.7], [0.3, 0.6, 0.1]]
+    rows = [(f"u{k:03}", kinds[0 if k % 4 else 1 + k // 4 % 2]) for k in range(120)]
+    p = metrics.profiles(spark.createDataFrame(rows, "unit string, v array<double>"), "unit", "v")
+    t = metrics.METRICS[name](p, digits=6).toArrow()
+    d = t["distance"].to_numpy()
+    assert len(set(zip(t["i"].to_pylist(), t["j"].to_pylist()))) == t.num_rows == 120 * 119 // 2 and all(a < b for a, b in zip(t["i"].to_pylist(), t["j"].to_pylist()))
+    # 6 values in 6 cells of up to 3000 pairs at once
+    assert (np.diff(d) != 0).sum() < 60
+    blocks, k, _ = metrics._packed(p, alike=True)
+    sizes = [len(r.units) for r in blocks.collect()]
+    assert k == 3 and sum(sizes) == 120 and max(sizes) < 100
