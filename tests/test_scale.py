@@ -183,3 +183,18 @@ def test_pairs_leave_in_runs(spark, monkeypatch, name):
     blocks, k, _ = metrics._packed(p, alike=True)
     sizes = [len(r.units) for r in blocks.collect()]
     assert k == 3 and sum(sizes) == 120 and max(sizes) < 100
+
+
+def test_profiles_in_single_precision(spark, monkeypatch):
+    """Profiles of single precision are shuffled as such, others are not; correlations are those of double precision."""
+    monkeypatch.setattr(metrics, "BLOCK_UNITS", 7)
+    shipped = []
+    packed = metrics._packed
+    monkeypatch.setattr(metrics, "_packed", lambda p, *a, **k: shipped.append(p.schema["x"].dataType.simpleString()) or packed(p, *a, **k))
+    x, _, _ = vectors(spark, 20)
+    for v, kind in ((x.astype(np.float32).astype(float), "array<array<float>>"), (x, "array<array<double>>")):
+        p = metrics.profiles(spark.createDataFrame([(f"u{k:02}", r.tolist()) for k, r in enumerate(v)], "unit string, v array<double>"), "unit", "v")
+        want = np.corrcoef(v)
+        rows = metrics.pearson(p).collect()
+        assert shipped.pop() == kind and len(rows) == 190
+        assert all(abs(r.similarity - want[int(r.i[1:]), int(r.j[1:])]) < 1e-12 for r in rows)
